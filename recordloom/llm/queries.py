@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, decontamination, license_scan, secret_scan, sharding, topk_search, url_filter
+from . import bpe, decontamination, jaccard_join, license_scan, secret_scan, sharding, topk_search, url_filter
 from .common import table
 
 #: Rules of op2: host, path, verdict.
@@ -47,6 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(jaccard_join.join(table(ship(spark), sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_files()
     encoded = bpe.encode(table(ship(spark), sf_dir, "documents"), path, pattern)
@@ -90,4 +94,13 @@ def oracle_sql() -> dict[str, str]:
                  ids AS (SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY r)
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
             FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)""",
+        "op9_jaccard_join": rf"""
+            WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+                 s AS (SELECT DISTINCT r, array_to_string(w[k : k + 4], ' ') AS g FROM d, unnest(generate_series(1, greatest(1, len(w) - 4))) AS t(k) WHERE len(w) > 0),
+                 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+                 pair AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+                 link AS (SELECT a, b FROM pair JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+                 reach(r, other) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN link ON a = other)
+            SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+            FROM d JOIN reach ON d.r = reach.r JOIN d o ON o.r = reach.other LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id""",
     }
