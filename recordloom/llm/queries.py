@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, decontamination, jaccard_join, license_scan, secret_scan, sharding, topk_search, url_filter
+from . import bpe, decontamination, jaccard_join, license_scan, quality, secret_scan, sharding, topk_search, toxicity, url_filter
 from .common import table
 
 #: Rules of op2: host, path, verdict.
@@ -31,6 +31,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels), threshold=0.5)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(ship(spark), sf_dir, "documents")))
 
@@ -43,6 +48,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(ship(spark), sf_dir, "documents"), shards=8)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels), threshold=0.7)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
