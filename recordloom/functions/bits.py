@@ -93,7 +93,7 @@ def delta_bytes(d: Column) -> Column:
 
 
 def rice_parameter(top: Column) -> Column:
-    """k for a largest zigzagged delta: its bit length less 2, within 0 to 7; 2 if all are zero."""
+    """k for the size of the largest delta: its bit length less 2, within 0 to 7; 2 if all are zero."""
     return F.when(top == 0, 2).otherwise(F.greatest(F.lit(0), F.least(F.lit(7), bit_length(top) - 2)))
 
 

@@ -85,14 +85,14 @@ def costs(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str])
     zero = F.col("d") == 0
     change = F.when(zero & F.coalesce(F.lag("d").over(w) == 0, F.lit(False)), 0).otherwise(1)
     rows = rows.withColumn("c", change).withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    by_run = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len"), F.first(F.col("d") == 0).alias("zero"), F.max(F.abs("d")).alias("top"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("u").alias("u"), F.sum(bits.delta_bytes(F.col("d"))).alias("tokens"))
+    by_run = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len"), F.first(F.col("d") == 0).alias("zero"), F.max(F.abs("d")).alias("top"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum(bits.delta_bytes(F.col("d"))).alias("tokens"))
     long_run = F.col("zero") & (F.col("len") > 3)
     sums = by_run.groupBy(*keys).agg(
-        F.sum("len").alias("n"), ((F.min("lo") >= -8) & (F.max("hi") <= 7)).alias("all_small"), F.max("top").alias("top"), F.max("u").alias("top_u"),
+        F.sum("len").alias("n"), ((F.min("lo") >= -8) & (F.max("hi") <= 7)).alias("all_small"), F.max("top").alias("top"),
         F.sum(F.when(long_run, 2 + (F.col("len") > 127).cast("int")).when(F.col("zero"), F.col("len")).otherwise(1)).alias("rle_bytes"),
         F.sum(F.when(long_run, 1 + bits.varint_length(F.col("len"))).otherwise(F.col("tokens"))).alias("token_bytes"),
     )
-    sums = sums.withColumn("bitpack_bytes", F.floor(F.col("n") / 2) + 5).withColumn("rice_k", bits.rice_parameter(F.col("top_u")))
+    sums = sums.withColumn("bitpack_bytes", F.floor(F.col("n") / 2) + 5).withColumn("rice_k", bits.rice_parameter(F.col("top")))
     # Rice sizes need k first; the second look at the deltas is an aggregate on the same keys.
     size = rows.select(*keys, "u").join(sums.select(*keys, "rice_k"), list(keys)).groupBy(*keys).agg((F.ceil(F.sum(bits.rice_bits(F.col("u"), F.col("rice_k"))) / 8) + 1).alias("rice_bytes"))
     out = sums.join(size, list(keys))
@@ -104,8 +104,8 @@ def rice_stream(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[
     """Rice codes of each sequence's deltas, as text of zeros and ones: keys, rice_k, bit_text."""
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = df.select(*keys, *order, (F.col(value) - F.lag(value).over(w)).cast("long").alias("d")).withColumn("at", F.row_number().over(w)).where("d is not null")
-    rows = rows.select(*keys, "at", bits.zigzag(F.col("d")).alias("u"))
-    k = rows.groupBy(*keys).agg(bits.rice_parameter(F.max("u")).alias("rice_k"))
+    rows = rows.select(*keys, "at", "d", bits.zigzag(F.col("d")).alias("u"))
+    k = rows.groupBy(*keys).agg(bits.rice_parameter(F.max(F.abs("d"))).alias("rice_k"))
     coded = rows.join(k, list(keys)).select(*keys, "rice_k", F.struct("at", bits.rice_code(F.col("u"), F.col("rice_k")).alias("code")).alias("c"))
     return coded.groupBy(*keys, "rice_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["code"]), "").alias("bit_text"))
 

@@ -187,7 +187,7 @@ def bitpack4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QTY = f"""WITH e AS (SELECT l_suppkey, CAST(l_quantity AS BIGINT) - lag(CAST(l_quantity AS BIGINT)) OVER w AS d, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {_LINE})),
     z AS (SELECT l_suppkey, rn, d, {_ZZ} AS u FROM e WHERE d IS NOT NULL),
-    k AS (SELECT l_suppkey, CASE WHEN max(u) = 0 THEN 2 ELSE greatest(0, least(7, length(bin(max(u))) - 2)) END AS rice_k FROM z GROUP BY l_suppkey)"""
+    k AS (SELECT l_suppkey, CASE WHEN max(abs(d)) = 0 THEN 2 ELSE greatest(0, least(7, length(bin(max(abs(d)))) - 2)) END AS rice_k FROM z GROUP BY l_suppkey)"""
 
 
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ _CHOICE = """WITH e AS (SELECT {key} AS key, CAST({value} AS BIGINT) - lag(CAST(
     r AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY rn) AS run FROM c),
     b AS (SELECT key, run, count(*) AS len, bool_and(d = 0) AS zero FROM r GROUP BY key, run),
     rle AS (SELECT key, sum(CASE WHEN zero AND len > 3 THEN 2 + CAST(len > 127 AS INTEGER) WHEN zero THEN len ELSE 1 END) AS rle FROM b GROUP BY key),
-    a AS (SELECT key, count(*) AS n, bool_and(d BETWEEN -8 AND 7) AS small, max(abs(d)) AS top, CASE WHEN max(u) = 0 THEN 2 ELSE greatest(0, least(7, length(bin(max(u))) - 2)) END AS k FROM z GROUP BY key),
+    a AS (SELECT key, count(*) AS n, bool_and(d BETWEEN -8 AND 7) AS small, max(abs(d)) AS top, CASE WHEN max(abs(d)) = 0 THEN 2 ELSE greatest(0, least(7, length(bin(max(abs(d)))) - 2)) END AS k FROM z GROUP BY key),
     s AS (SELECT key, ceil(sum((u >> CAST(k AS INTEGER)) + 1 + k) / 8.0) + 1 AS rice FROM z JOIN a USING (key) GROUP BY key)
     SELECT '{name}' AS column_name, key, n, small AS all_small, top, CAST(n // 2 + 5 AS BIGINT) AS bitpack_bytes, CAST(rle AS BIGINT) AS rle_bytes, CAST(rice AS BIGINT) AS rice_bytes,
            CASE WHEN small AND NOT rle < 0.8 * (n / 2 + 5) THEN 'bitpack' WHEN n >= 10 AND top < 1024 AND rice < 1.5 * n THEN 'rice' ELSE 'tokens' END AS codec
