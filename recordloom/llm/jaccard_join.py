@@ -32,6 +32,8 @@ SHINGLE, NUM, DEN = 5, 4, 5
 SAMPLED, COMMON, COMMON_KEPT = 64, 3, 100_000
 #: Bins of a sketch; tokens of a chunk; bytes of a bucket of prefix tokens.
 BINS, CHUNK_TOKENS, BUCKET_BYTES = 8, 1 << 18, 16 << 20
+#: Members of a group up to which a query is compared with each by itself.
+TAKEN_APART = 32
 _NONE = np.zeros(0, U64)
 
 
@@ -66,6 +68,30 @@ def size_class(n: int) -> int:
     return min(255, int(np.log(n) / (np.log(1.25) / 4))) if n else 0
 
 
+def parity_of(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall on each bit, modulo 2: at least 1024 bits, about two for each token, 65536 at most.
+
+    Two sets differ in at least as many tokens as their parities differ in bits.
+    """
+    bits = 1 << min(16, max(10, int(2 * len(tokens)).bit_length()))
+    return np.packbits(np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+
+
+def may_link(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
+    """False only if sets of n and m tokens with these parities differ in more tokens than J >= NUM/DEN allows."""
+    if len(a) < len(b):
+        a, b = b, a
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum()) * (DEN + NUM) <= (DEN - NUM) * (n + m)
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols = (b.column(c).to_pylist() for c in ("n", "parity", "m", "other"))
+        keep = [may_link(n, np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8)) for n, x, m, y in zip(*cols, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("target")], names=["q", "target"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _sketch(tokens: np.ndarray) -> np.ndarray:
     """The smallest token of each of BINS ranges of hashes."""
     at = np.searchsorted(tokens, np.arange(BINS, dtype=U64) << U64(61))
@@ -94,11 +120,11 @@ def _signatures(docs: DataFrame, common) -> DataFrame:
         sets, h1, h2 = shingle_sets(batch.column("text"))
         some = common.value
         return pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([prefix_of(s, some).tobytes() for s in sets], pa.binary())],
-            names=["row", "doc_id", "h1", "h2", "n", "sketch", "prefix"],
+            [batch.column("row"), batch.column("doc_id"), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([prefix_of(s, some).tobytes() for s in sets], pa.binary()), pa.array([parity_of(s).tobytes() for s in sets], pa.binary())],
+            names=["row", "doc_id", "h1", "h2", "n", "sketch", "prefix", "parity"],
         )
 
-    return map_steps(docs, kernel, "row long, doc_id long, h1 long, h2 long, n long, sketch array<long>, prefix binary")
+    return map_steps(docs, kernel, "row long, doc_id long, h1 long, h2 long, n long, sketch array<long>, prefix binary, parity binary")
 
 
 def _groups(reps: DataFrame) -> DataFrame:
@@ -232,12 +258,14 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["rep", "root"])
 
 
+#: Share of a set that must stand behind a token, by how many classes (-6 to 6) the other set is larger, at least.
+_REST = NUM / (NUM + DEN) * (1 + np.exp((np.arange(-6, 7) - 1) * np.log(1.25) / 4)) - 1e-9
 #: Marks the number of a group of several; a representative alone is its own group.
 _MANY = U64(1 << 63)
 
 
 def _pack(buckets: int):
-    """Prefix tokens by bucket of their hash, many in a row: token and size class, representative, group."""
+    """Prefix tokens by bucket of their hash, many in a row: token, place and size class; representative; group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,12 +275,16 @@ def _pack(buckets: int):
                 continue
             tokens = np.concatenate(prefixes)
             classes = np.repeat(np.array([size_class(n) for n in b.column("n").to_pylist()], U64), sizes)
+            # How much of its set stands before a token, in 255ths rounded down.
+            n = np.repeat(b.column("n").to_numpy(), sizes)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = (place * 255 // n).astype(U64)
             rep = np.repeat(b.column("row").to_numpy().view(U64), sizes)
             centre = b.column("centre").fill_null(-1).to_numpy()
             group = np.repeat(np.where(centre >= 0, centre.astype(np.int64).view(U64) | _MANY, b.column("row").to_numpy().view(U64)), sizes)
             bucket = ((tokens >> U64(40)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            entry = np.stack([(tokens & ~U64(255)) | classes, rep, group])[:, order]
+            entry = np.stack([(tokens & ~U64(0xFFFF)) | place << U64(8) | classes, rep, group])[:, order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([entry[r, cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()) for r in range(3))], names=["bucket", "entry", "reps", "groups"])
@@ -262,9 +294,9 @@ def _pack(buckets: int):
 
 def candidates(entry: np.ndarray, rep: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct queries and the groups they have to be asked against, from the prefix tokens of one bucket."""
-    order = np.lexsort((group, entry >> U64(8)))
+    order = np.lexsort((group, entry >> U64(16)))
     entry, rep, group = entry[order], rep[order], group[order]
-    token, size = entry >> U64(8), (entry & U64(255)).astype(np.int64)
+    token, size, left_share = entry >> U64(16), (entry & U64(255)).astype(np.int64), 1 - ((entry >> U64(8)) & U64(255)).astype(float) / 255
     head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     tail = np.append(head[1:], len(token))
     mixed = group[head] != group[tail - 1] if len(token) else np.zeros(0, bool)
@@ -281,7 +313,11 @@ def candidates(entry: np.ndarray, rep: np.ndarray, group: np.ndarray) -> tuple[n
         if not len(left):
             break
         i, j = left, left + step
-        good = (group[i] != group[j]) & (np.abs(size[i] - size[j]) <= 5)
+        apart = size[j] - size[i]
+        good = (group[i] != group[j]) & (np.abs(apart) <= 5)
+        # If this is the first token that two sets share, all others stand behind it in both, and these must be
+        # NUM / (NUM + DEN) of both sizes together. The first shared one is met too, so others may be passed over.
+        good &= (left_share[i] >= _REST[apart.clip(-6, 6) + 6]) & (left_share[j] >= _REST[(-apart).clip(-6, 6) + 6]) | (size[i] == 255) | (size[j] == 255)
         i, j = i[good], j[good]
         many_i, many_j = (group[i] & _MANY) > 0, (group[j] & _MANY) > 0
         # One alone asks a group; of two of a kind the one with the smaller number asks. Groups are sorted, so i's is smaller.
@@ -375,8 +411,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tagged = reps.select("row", "n", "prefix").join(bounded(groups.withColumnRenamed("rep", "row")), "row", "left")
     met = tagged.mapInArrow(_pack(buckets), "bucket int, entry binary, reps binary, groups binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, "q long, target long, many boolean")
     met = materialize(met.distinct(), "join-candidates")
-    alone = met.where("not many").select("q", F.col("target").alias("chunk"))
-    grouped = met.where("many").select("q", F.col("target").alias("centre")).join(placed.select("centre", "chunk").distinct(), "centre").select("q", "chunk")
+    # Small groups are taken apart into their members, large ones are asked as a whole. Either way no link is lost.
+    sizes = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("size"))
+    of_many = met.where("many").select("q", F.col("target").alias("centre")).join(sizes, "centre")
+    apart = of_many.where(F.col("size") <= TAKEN_APART).select("q", "centre").join(placed.select("centre", F.col("rep").alias("target")), "centre").select("q", "target")
+    # Parities tell most pairs apart that only share a passage.
+    pairs = materialize(met.where("not many").select("q", "target").unionAll(apart).where("q <> target"), "join-close")
+    ends = materialize(pairs.select(F.col("q").alias("row")).unionAll(pairs.select(F.col("target").alias("row"))).distinct(), "join-ends")
+    parity = sig.select("row", "n", "parity").join(bounded(ends), "row", "left_semi")
+    pairs = pairs.join(parity.withColumnRenamed("row", "q"), "q").join(parity.select(F.col("row").alias("target"), F.col("n").alias("m"), F.col("parity").alias("other")), "target")
+    alone = materialize(pairs.select("q", "target", "n", "parity", "m", "other").mapInArrow(_may_link, "q long, target long"), "join-pairs").select("q", F.col("target").alias("chunk"))
+    grouped = of_many.where(F.col("size") > TAKEN_APART).select("q", "centre").join(placed.select("centre", "chunk").distinct(), "centre").select("q", "chunk")
     asked = materialize(again.unionAll(alone).unionAll(grouped), "join-asked")
     opened = asked.select("chunk").distinct()
     inside = placed.select("rep", "chunk").join(opened, "chunk").unionAll(alone.select(F.col("chunk").alias("rep"), "chunk").distinct())
