@@ -30,7 +30,9 @@ REMEMBERED, LONGEST = 400_000, 64
 #: Log-likelihood ratio from which a window counts, how many of a text's best windows are summed, and the sum's cap.
 TELLING, BEST, CAP = 1.5, 8, 40.0
 HEAD, TAIL = bytes(64), bytes(16)
-_GRAM, _LENGTHS, _SPREAD = 5, 24, 256
+#: How much commoner pieces of words are in toxic texts, as a logarithm and in standard deviations, to stand for these.
+LOG_RATIO, DEVIATIONS = 1.2, 5.0
+_GRAMS, _LENGTHS, _SPREAD = (5, 7), 24, 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -109,10 +111,23 @@ def _distinct(texts: list[str]) -> list[str]:
 def _grams(texts: list[str]) -> Counter:
     found: Counter = Counter()
     for t in texts:
-        found.update({w[i : i + _GRAM] for w in set(windows(t)) for i in range(len(w) - _GRAM + 1)})
+        words = set(windows(t))
+        found.update({w[i : i + n] for w in words for n in _GRAMS for i in range(len(w) - n + 1)})
     return found
 
 
+def _telling(toxic: list[str], ordinary: list[str]) -> set[bytes]:
+    """Pieces of words that are far commoner in toxic texts, beyond chance."""
+    ct, co = _grams(toxic), _grams(ordinary)
+    nt, no = len(toxic), len(ordinary)
+    out = set()
+    for g, c in ct.items():
+        a, b, p = (c + 0.5) / (nt + 1), (co[g] + 0.5) / (no + 1), (c + co[g] + 0.5) / (nt + no + 1)
+        if c > 1 and np.log(a / b) > LOG_RATIO and (a - b) / np.sqrt(p * (1 - p) * (1 / nt + 1 / no)) > DEVIATIONS:
+            out.add(g)
+    return out
+
+
 def _joined(found: Counter, most: int = 50, together: int = 6) -> list[bytes]:
     """Training samples: windows, each up to so many times, in a fixed mixed order, some together."""
     w = [x[1:] for x, n in sorted(found.items()) for _ in range(min(n, most))]
@@ -127,10 +142,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
         return None
     ta, tb, oa, ob = toxic[::2], toxic[1::2], ordinary[::2], ordinary[1::2]
     # Toxic samples are the windows that hold pieces found in toxic texts far more often than in others.
-    ct, co = _grams(ta), _grams(oa)
-    least = max(2, min(6, len(ta) // 30))
-    telling = {g for g, c in ct.items() if c >= least and np.log((c + 0.5) / len(ta)) - np.log((co[g] + 0.5) / len(oa)) > 2.3}
-    has = lambda w: any(w[i : i + _GRAM] in telling for i in range(len(w) - _GRAM + 1))
+    telling = _telling(ta, oa)
+    has = lambda w: any(w[i : i + n] in telling for n in _GRAMS for i in range(len(w) - n + 1))
     tox = Counter(w for t in ta for w in windows(t) if has(w))
     rest = Counter(w for t in oa for w in windows(t) if not has(w))
     most = Counter(dict(sorted(rest.items(), key=lambda x: (-x[1], x[0]))[:20_000]))
@@ -207,7 +220,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         judge = judge_of(m) if m is not None else None
-        s = [judge.score(t) if judge else 0.0 for t in batch.column("text").to_pylist()]
+        s = [judge.score(t) if judge is not None else 0.0 for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(~is_training_row(F.col(id_col)), F.lit(False))
