@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -152,25 +152,51 @@ def _merged(items: list) -> Iterator[wire.Batch]:
         yield wire.Batch(len(alone), names, [([r.get(k) for r in alone], None) for k in names])
 
 
+#: Single steps besides the kinds of transforms.transform(), and their inverses.
+STEPS = {"rle": (transforms.rle_encode, transforms.rle_decode), "zero_rle": (transforms.zero_rle_encode, transforms.zero_rle_decode), "mtf_step": (transforms.mtf_encode, transforms.mtf_decode)}
+
+
 def transformed(df: DataFrame, text: str, kind: str, keys: Sequence[str]) -> DataFrame:
-    """keys and the transform of a text's UTF-8 bytes; a null text gives null."""
+    """keys and the transform (or single step) of a text's UTF-8 bytes; a null text gives null."""
+    do = STEPS[kind][0] if kind in STEPS else lambda x: transforms.transform(x, kind)
     schema = ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in keys), "payload binary"])
 
     def run(batches):
         for b in batches:
-            out = [None if x is None else transforms.transform(x, kind) for x in b.column("_raw").to_pylist()]
+            out = [None if x is None else do(x) for x in b.column("_raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.binary())], names=[*keys, "payload"])
 
     return df.select(*keys, F.encode(F.col(text), "UTF-8").alias("_raw")).mapInArrow(run, schema)
 
 
-def untransformed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The other way: keys and text."""
+def untransformed(df: DataFrame, keys: Sequence[str], step: str | None = None) -> DataFrame:
+    """The other way: keys and text. A single step has to be named, as nothing in its bytes tells it."""
+    undo = STEPS[step][1] if step else transforms.untransform
     schema = ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in keys), "text string"])
 
     def run(batches):
         for b in batches:
-            out = [None if x is None else transforms.untransform(x).decode() for x in b.column("payload").to_pylist()]
+            out = [None if x is None else undo(x).decode() for x in b.column("payload").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.string())], names=[*keys, "text"])
 
     return df.select(*keys, "payload").mapInArrow(run, schema)
+
+
+def huffman_table(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Code lengths and canonical codes from byte counts (keys, byte, n): keys, byte, bits, code (as text).
+
+    A group has 256 rows at most. Lengths come from package-merge; a code is a window sum over the Kraft shares before it.
+    """
+    kinds = dict(histogram.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "byte int, bits int"])
+
+    def lengths(t: pa.Table) -> pa.Table:
+        found = transforms.code_lengths(dict(zip(t.column("byte").to_pylist(), t.column("n").to_pylist(), strict=True)))
+        same = {k: pa.array([t.column(k)[0].as_py()] * len(found), t.schema.field(k).type) for k in keys}
+        return pa.table({**same, "byte": pa.array(list(found), pa.int32()), "bits": pa.array(list(found.values()), pa.int32())})
+
+    by = histogram.select(*keys, "byte", "n").groupBy(*keys).applyInArrow(lengths, schema)
+    w = Window.partitionBy(*keys).orderBy("bits", "byte").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.coalesce(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), 15 - F.col("bits"))).over(w), F.lit(0).cast("long"))
+    code = F.call_function("shiftright", share, 15 - F.col("bits"))
+    return by.select(*keys, "byte", "bits", F.lpad(F.bin(code), F.col("bits"), "0").alias("code"))

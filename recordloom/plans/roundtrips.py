@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packing
+from ..operators import packing, profiles
 from ..sources import json as json_source
 from ..sources import packed as packed_source
 from ..streaming import frames
@@ -58,6 +58,35 @@ for _kind in ("mtf", "lz", "huffman", "lz_huffman", "huffman_lz", "block", "auto
     _transform_query(_kind, "conversations" if _kind in ("mtf", "block", "huffman_lz") else "documents", ["conv_id", "turn"] if _kind in ("mtf", "block", "huffman_lz") else ["doc_id"])
 
 
+def _step_query(kind: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return packing.untransformed(packing.transformed(table(spark, sf_dir, "documents"), "text", kind, ["doc_id"]), ["doc_id"], kind)
+
+    run.__name__ = f"{kind}_roundtrip"
+    run.__doc__ = f"Every text through the single step {kind} and back."
+    query("SELECT doc_id, text FROM documents")(run)
+
+
+for _kind in packing.STEPS:
+    _step_query(_kind)
+
+
+@query("""WITH h AS (SELECT conv_id, turn, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM conversations), e AS (SELECT conv_id, turn, unnest(b) AS b, unnest(generate_series(0, len(b) - 1)) AS i FROM h)
+    SELECT conv_id, turn, i // 256 AS block, string_agg(b, '' ORDER BY b, i) AS sorted_bytes, string_agg(printf('%02X', CAST(i % 256 AS INTEGER)), '' ORDER BY b, i) AS places FROM e GROUP BY ALL""")
+def block_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of 256 bytes of every text in stable order, with the places that its bytes came from."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lit("(..)"), 1)
+    e = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(pairs).alias("i", "b"))
+    by = e.groupBy("conv_id", "turn", F.floor(F.col("i") / 256).alias("block")).agg(F.sort_array(F.collect_list(F.struct("b", "i"))).alias("s"))
+    return by.select("conv_id", "turn", "block", F.array_join(F.transform("s", lambda x: x["b"]), "").alias("sorted_bytes"), F.array_join(F.transform("s", lambda x: F.lpad(F.hex(x["i"] % 256), 2, "0")), "").alias("places"))
+
+
+@query()
+def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical codes for the bytes of each role's texts."""
+    return packing.huffman_table(profiles.byte_histogram(table(spark, sf_dir, "conversations"), "text", ["role"]), ["role"])
+
+
 @query("SELECT count(*) AS n, true AS all_read, true AS all_damage_seen FROM events")
 def frame_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All packed events are read; with one bit of each batch changed none is."""

@@ -126,3 +126,19 @@ def test_json_lines(spark, tmp_path):
         json_source.read_lines(spark, str(tmp_path / "a.jsonl"), schema).collect()
     (tmp_path / "b.json").write_text('[{"a": 1},\n {"b": "x"}]')
     assert json_source.read_json(spark, str(tmp_path / "b.json")).columns == ["a", "b"]
+
+
+def test_command_line(spark, tmp_path):
+    from recordloom import cli
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1, "b": "x"}\n{"a": 2}\n')
+    cli.main(["encode", str(tmp_path / "a.jsonl"), str(tmp_path / "p"), "--stats"])
+    cli.main(["decode", str(tmp_path / "p"), str(tmp_path / "j")])
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "j")).collect()) == ['{"a":1,"b":"x"}', '{"a":2}']
+    cli.main(["decode", str(tmp_path / "p"), str(tmp_path / "q"), "--pretty"])
+    assert spark.read.text(str(tmp_path / "q")).count() > 2
+
+
+def test_huffman_table_is_a_full_code(spark):
+    t = registry.queries()["huffman_codes"](spark, SF).groupBy("role").agg(F.sum(F.pow(F.lit(2.0), -F.col("bits"))).alias("kraft"), F.count("code").alias("n"), F.countDistinct("code").alias("d")).collect()
+    assert t and all(r.kraft == 1.0 and r.n == r.d for r in t)
