@@ -85,17 +85,17 @@ def costs(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str])
     zero = F.col("d") == 0
     change = F.when(zero & F.coalesce(F.lag("d").over(w) == 0, F.lit(False)), 0).otherwise(1)
     rows = rows.withColumn("c", change).withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    by_run = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len"), F.first(F.col("d") == 0).alias("zero"), F.max(F.abs("d")).alias("top"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum(bits.delta_bytes(F.col("d"))).alias("tokens"))
+    by_run = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len"), F.first(F.col("d") == 0).alias("zero"), F.max(F.abs("d")).alias("top"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum(bits.delta_bytes(F.col("d"))).alias("tokens"), *(F.sum(F.call_function("shiftrightunsigned", F.col("u"), F.lit(k))).alias(f"q{k}") for k in range(8)))
     long_run = F.col("zero") & (F.col("len") > 3)
     sums = by_run.groupBy(*keys).agg(
         F.sum("len").alias("n"), ((F.min("lo") >= -8) & (F.max("hi") <= 7)).alias("all_small"), F.max("top").alias("top"),
         F.sum(F.when(long_run, 2 + (F.col("len") > 127).cast("int")).when(F.col("zero"), F.col("len")).otherwise(1)).alias("rle_bytes"),
-        F.sum(F.when(long_run, 1 + bits.varint_length(F.col("len"))).otherwise(F.col("tokens"))).alias("token_bytes"),
+        F.sum(F.when(long_run, 1 + bits.varint_length(F.col("len"))).otherwise(F.col("tokens"))).alias("token_bytes"), *(F.sum(f"q{k}").alias(f"q{k}") for k in range(8)),
     )
     sums = sums.withColumn("bitpack_bytes", F.floor(F.col("n") / 2) + 5).withColumn("rice_k", bits.rice_parameter(F.col("top")))
-    # Rice sizes need k first; the second look at the deltas is an aggregate on the same keys.
-    size = rows.select(*keys, "u").join(sums.select(*keys, "rice_k"), list(keys)).groupBy(*keys).agg((F.ceil(F.sum(bits.rice_bits(F.col("u"), F.col("rice_k"))) / 8) + 1).alias("rice_bytes"))
-    out = sums.join(size, list(keys))
+    # Quotients were summed for every k at once, so the deltas are looked at once.
+    quotients = F.element_at(F.array(*(F.col(f"q{k}") for k in range(8))), F.col("rice_k") + 1)
+    out = sums.withColumn("rice_bytes", F.ceil((quotients + F.col("n") * (1 + F.col("rice_k"))) / 8) + 1)
     codec = F.when(F.col("all_small") & ~(F.col("rle_bytes") < 0.8 * (F.col("n") / 2 + 5)), "bitpack").when((F.col("n") >= 10) & (F.col("top") < 1024) & (F.col("rice_bytes") < 1.5 * F.col("n")), "rice").otherwise("tokens")
     return out.select(*keys, "n", "all_small", "top", "bitpack_bytes", "rle_bytes", "rice_k", "rice_bytes", "token_bytes", codec.alias("codec"))
 
