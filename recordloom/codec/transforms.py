@@ -150,12 +150,16 @@ def _extended(n: int) -> bytes:
     return b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255]) if n >= 15 else b""
 
 
-def lz_compress(data: bytes) -> bytes:
-    """02 length tokens, or 00 length data where that is no longer. Candidates come from a sort of all 4-byte windows."""
+def lz_compress(data: bytes, history: bytes = b"") -> bytes:
+    """02 length tokens, or 00 length data where that is no longer. Candidates come from a sort of all 4-byte windows.
+
+    history: bytes that the reader has already, to which matches may reach back.
+    """
+    plain, size, data = data, len(data), history + data
     n = len(data)
     a = np.frombuffer(data, np.uint8)
-    if n < 8 or len(np.unique(a[:LZ_SAMPLE])) / min(n, LZ_SAMPLE) > LZ_DISTINCT:
-        return _stored(data)
+    if size < 8 or len(np.unique(a[n - size :][:LZ_SAMPLE])) / min(size, LZ_SAMPLE) > LZ_DISTINCT:
+        return _stored(plain)
     w = a[:-3].astype(np.uint32) | a[1:-2].astype(np.uint32) << 8 | a[2:-1].astype(np.uint32) << 16 | a[3:].astype(np.uint32) << 24
     order = np.argsort(w, kind="stable")
     before = np.full(n, -1, np.int64)
@@ -163,9 +167,9 @@ def lz_compress(data: bytes) -> bytes:
     before[order[1:][same]] = order[:-1][same]
     before[: n - 3][np.arange(n - 3) - before[: n - 3] > LZ_FAR] = -1
     starts = np.flatnonzero(before >= 0)
-    out, lit, i = [b"\x02", n.to_bytes(4, "little")], 0, 0
     listed = starts.tolist()
     past = np.searchsorted(starts, np.arange(n + 1)).tolist()
+    out, lit, i = [b"\x02", size.to_bytes(4, "little")], n - size, past[n - size]
     while i < len(listed):
         p = listed[i]
         best, off = 0, 0
@@ -190,16 +194,17 @@ def lz_compress(data: bytes) -> bytes:
     if lit < n:
         out += [bytes([min(15, n - lit) << 4]), _extended(n - lit), data[lit:]]
     packed = b"".join(out)
-    return packed if len(packed) < n + 5 else _stored(data)
+    return packed if len(packed) < size + 5 else _stored(plain)
 
 
-def lz_decompress(data: bytes) -> bytes:
+def lz_decompress(data: bytes, history: bytes = b"") -> bytes:
     size = int.from_bytes(data[1:5], "little")
     if data[0] == 0:
         return data[5 : 5 + size]
     if data[0] != 2:
         raise ValueError("no LZ data")
-    out, i, end = bytearray(), 5, len(data)
+    out, i, end = bytearray(history), 5, len(data)
+    size += len(history)
 
     def more(n: int) -> int:
         nonlocal i
@@ -231,7 +236,27 @@ def lz_decompress(data: bytes) -> bytes:
             match -= take
     if len(out) != size:
         raise ValueError("LZ data end early")
-    return bytes(out)
+    return bytes(out[len(history) :])
+
+
+class LzWindow:
+    """LZ over a stream of chunks: each may match the bytes before it. A small, picklable state for keyed streams."""
+
+    def __init__(self):
+        self.window = b""
+
+    def _seen(self, data: bytes) -> None:
+        self.window = (self.window + data)[-LZ_FAR:]
+
+    def compress(self, data: bytes) -> bytes:
+        out = lz_compress(data, self.window)
+        self._seen(data)
+        return out
+
+    def decompress(self, packed: bytes) -> bytes:
+        data = lz_decompress(packed, self.window)
+        self._seen(data)
+        return data
 
 
 def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:

@@ -132,15 +132,21 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type, value FROM events")
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a file stream, encoded with live dictionaries, then decoded by a second stream."""
+    """Events as a file stream: encoded with live dictionaries, compressed in a running window, and all the way back."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     record = F.to_json(F.struct("user_id", "event_id", "event_type", "value"))
     units = frames.encode_stream(events.select(F.pmod("user_id", F.lit(8)).alias("stream"), "event_id", record.alias("json")), "stream", "event_id")
-    paths = [_scratch(spark, x) for x in ("units", "units-state", "records", "records-state")]
-    units.writeStream.format("parquet").option("path", paths[0]).option("checkpointLocation", paths[1]).trigger(availableNow=True).start().awaitTermination()
-    pieces = spark.readStream.schema("stream string, seq long, n long, payload binary").parquet(paths[0])
-    frames.decode_stream(pieces).writeStream.format("parquet").option("path", paths[2]).option("checkpointLocation", paths[3]).trigger(availableNow=True).start().awaitTermination()
-    back = spark.read.schema("stream string, at long, json string").parquet(paths[2])
+    paths = [_scratch(spark, x) for x in ("units", "units-state", "small", "small-state", "plain", "plain-state", "records", "records-state")]
+    schema = "stream string, seq long, payload binary"
+
+    def run(df: DataFrame, at: int) -> None:
+        df.writeStream.format("parquet").option("path", paths[at]).option("checkpointLocation", paths[at + 1]).trigger(availableNow=True).start().awaitTermination()
+
+    run(units, 0)
+    run(frames.compress_stream(spark.readStream.schema(schema).parquet(paths[0])), 2)
+    run(frames.decompress_stream(spark.readStream.schema(schema).parquet(paths[2])), 4)
+    run(frames.decode_stream(spark.readStream.schema(schema).parquet(paths[4])), 6)
+    back = spark.read.schema("stream string, at long, json string").parquet(paths[6])
     return back.select(F.from_json("json", "user_id bigint, event_id bigint, event_type string, value double").alias("r")).select("r.*")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..codec import wire
+from ..codec import transforms, wire
 
 _STATE = "state binary"
 
@@ -58,3 +58,24 @@ def decode_stream(units: DataFrame) -> DataFrame:
         yield pd.DataFrame({"stream": [key[0]] * len(out), "at": range(at, at + len(out)), "json": [js.dumps(r, ensure_ascii=False) for r in out]})
 
     return units.select("stream", "seq", "payload").groupBy("stream").applyInPandasWithState(step, "stream string, at long, json string", _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _windowed(pieces: DataFrame, direction: str) -> DataFrame:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        window = _load(state, transforms.LzWindow)
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = [getattr(window, direction)(bytes(x)) for x in rows["payload"]]
+        state.update((pickle.dumps(window),))
+        yield pd.DataFrame({"stream": [key[0]] * len(out), "seq": rows["seq"].tolist(), "payload": out})
+
+    return pieces.select("stream", "seq", "payload").groupBy("stream").applyInPandasWithState(step, "stream string, seq long, payload binary", _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def compress_stream(pieces: DataFrame) -> DataFrame:
+    """Streaming: pieces (stream, seq, payload) compressed with a window that goes on from piece to piece."""
+    return _windowed(pieces, "compress")
+
+
+def decompress_stream(pieces: DataFrame) -> DataFrame:
+    """Streaming: the other way."""
+    return _windowed(pieces, "decompress")

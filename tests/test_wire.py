@@ -152,3 +152,13 @@ def test_huffman_lengths_stay_within_the_limit():
     codes = transforms.canonical_codes(lengths)
     texts = sorted(f"{c:0{n}b}" for c, n in codes.values())
     assert not any(y.startswith(x) for x, y in zip(texts, texts[1:], strict=False))
+
+
+def test_running_window():
+    a, b = transforms.LzWindow(), transforms.LzWindow()
+    rng = random.Random(9)
+    pieces = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(0, 3000))).encode() for _ in range(12)] + [b"", b"x", bytes(20_000)]
+    packed = [a.compress(p) for p in pieces]
+    assert [b.decompress(p) for p in packed] == pieces
+    again = b"a sentence that comes twice, word for word"
+    assert len(a.compress(again)) > len(a.compress(again))
