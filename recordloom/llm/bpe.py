@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, map_steps
+from .common import held, list_array, map_steps
 
 #: Words that a worker remembers, the longest of them, and remembered pairs.
-WORDS, LONGEST, PAIRS = 400_000, 48, 1_000_000
+WORDS, LONGEST, PAIRS = 200_000, 48, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -138,14 +138,9 @@ class _Words(dict):
         return ids
 
 
-_LOADED: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """Read once in each Python process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Tokenizer(path, pattern)
-    return _LOADED[path, pattern]
+    """Read once for a stage in each Python process."""
+    return held(("bpe", path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

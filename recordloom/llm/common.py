@@ -75,9 +75,30 @@ def map_steps(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch |
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than by default: a row may hold a long text, and each running task holds some batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+_HELD: list[tuple[object, object]] = []
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept in this Python process until another key is asked for.
+
+    Workers serve one stage after another; what an earlier stage remembered must not add to what a later one needs.
+    """
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
+
+
 def is_training_row(doc_id) -> Column:
     """Rows whose labels may be learnt from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1

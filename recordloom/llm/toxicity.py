@@ -19,14 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training_row, map_steps
+from .common import held, is_training_row, map_steps
 
 #: Bounds of the sample that is learnt from: toxic and ordinary texts, and bytes of a text that may be drawn.
 TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 2000, 4000, 32 << 10
 #: Tried sizes of dictionaries, of their segments and of what these are chosen by; the best on unseen texts is taken.
 SHAPES = ((4096, 24, 8), (2048, 16, 6), (4096, 16, 6))
 #: Windows are remembered up to this number in each worker; longer ones than LONGEST bytes are cut into pieces.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Log-likelihood ratio from which a window counts, how many of a text's best windows are summed, and the sum's cap.
 TELLING, BEST, CAP = 1.5, 8, 40.0
 HEAD, TAIL = bytes(64), bytes(16)
@@ -196,16 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
     return fit(training_texts(docs, labels, label, 1, TOXIC_TEXTS), training_texts(docs, labels, label, 0, ORDINARY_TEXTS))
 
 
-_JUDGES: dict[bytes, Judge] = {}
-
-
 def judge_of(model: Model) -> Judge:
-    """One judge in each Python process, so that windows are remembered from task to task."""
-    key = model.toxic + model.ordinary + model.weights.tobytes()
-    if key not in _JUDGES:
-        _JUDGES.clear()
-        _JUDGES[key] = Judge(model)
-    return _JUDGES[key]
+    """One judge for a stage in each Python process, so that windows are remembered from task to task."""
+    return held(("toxicity", model.toxic, model.ordinary, model.weights.tobytes()), lambda: Judge(model))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +216,6 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
         s = [judge.score(t) if judge is not None else 0.0 for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    held = F.coalesce(~is_training_row(F.col(id_col)), F.lit(False))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    out = F.coalesce(~is_training_row(F.col(id_col)), F.lit(False))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
     return map_steps(d, kernel, "doc_id long, held_out boolean, score double, predicted int")
