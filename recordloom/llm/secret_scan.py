@@ -27,8 +27,11 @@ KINDS = ("assign", "access", "hex", "named")
 
 _SIGN = re.compile(r":=|=>|(?<![=!<>:])=(?![=>~])|:(?![:=/])")
 _NAME_BEFORE = re.compile(r"""(?:["']?)([A-Za-z_][\w.\-]{0,63})["'\])]{0,2}[ \t]{0,8}(?::[ \t]{0,2}\w{1,16}[ \t]{0,4})?$""", re.A)
-_ATOM = re.compile(r"""[ \t]{0,8}(?:(?P<q>["'`])(?P<s>[^"'`\n\\]{0,512})(?P=q)|(?P<n>[A-Za-z_][\w.]{0,63})(?![\w(])|(?P<b>[^\s"'`,;#<>{}()\[\]]{1,512}))""", re.A)
+_ATOM = re.compile(r"""[ \t]{0,8}(?:(?P<q>["'`])(?P<s>[^"'`\n\\]{0,512})(?P=q)|(?P<b>[^\s"'`,;#<>{}()\[\]]{1,512}))""", re.A)
 _PLUS = re.compile(r"[ \t]{0,4}[+.][ \t]{1,4}")
+#: Names joined by + without blanks, at the start of a bare value.
+_SUM = re.compile(r"[A-Za-z_][\w.]*+(?:\+[A-Za-z_][\w.]*+)*+\+?", re.A)
+_NAME = re.compile(r"[A-Za-z_][\w.]*+", re.A)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: How much a part of a name says that its value is secret.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "apikey": 3, "token": 2, "credential": 2, "credentials": 2, "auth": 1, "key": 1, "private": 2, "access": 1, "api": 1, "bearer": 2, "signing": 1, "session": 1, "client": 1}
@@ -73,6 +76,18 @@ def literal_score(literal: str) -> float:
     return min(4.0, bits) - 1.5 + 0.5 * (classes - 1) if " " not in literal else min(1.0, bits / 4)
 
 
+def _bare(text: str, start: int, end: int, given: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Places that a bare value stands for: those of the known names in it, and all of it unless it is only names."""
+    if text[start:end] in given and text[end : end + 1] != "(":
+        return given[text[start:end]]
+    names = _SUM.match(text, start, end)
+    words = list(_NAME.finditer(text, *names.span())) if names else []
+    known = {w.span(): given[w[0]] for w in words if w[0] in given and text[w.end() : w.end() + 1] != "("}
+    if known and names.end() == end:
+        return [x for w in words for x in known.get(w.span(), [w.span()])]
+    return [*(x for places in known.values() for x in places), (start, end)]
+
+
 def named_spans(text: str) -> list[Span]:
     """Literals that the text assigns, directly or by way of other names, to sensitive names."""
     given: dict[str, list[tuple[int, int]]] = {}  # name: places of the literals that it stands for
@@ -90,13 +105,9 @@ def named_spans(text: str) -> list[Span]:
                 break
             if atom["s"] is not None:
                 parts.append(atom.span("s"))
-            elif atom["n"] is not None and atom["n"] in given:
-                parts += given[atom["n"]]
-            elif atom["n"] is not None:
-                parts.append(atom.span("n"))
             else:
-                parts.append(atom.span("b"))
-            pos = atom.end()
+                parts += _bare(text, *atom.span("b"), given)
+            pos = atom.end() - (atom["b"] is not None and atom["b"].endswith("+"))
             more = _PLUS.match(text, pos)
             if not more:
                 break
