@@ -4,14 +4,15 @@
 2. Representatives with similar sketches are gathered around a centre into groups, and large groups are cut into chunks
    of bounded size. Grouping only steers the work, the result does not depend on it.
 3. A chunk holds the token union of its members as an index from token to members. Inside a chunk all overlaps are
-   counted by it. The most central member of a group is put into all its chunks, so members linked with it are known
-   to be connected; only the others are asked against the further chunks of their group.
+   counted by it. In a cut group, all members of one chunk are asked against each other chunk, two chunks at a time.
 4. Between groups, prefixes lead: in one order of all tokens, two sets with J >= 4/5 share a token among the first
    n - ceil(4n/5) + 1 of each. Tokens that a sample shows to be common go last in this order, so shared passages do
    not lead to candidates. A token met in different groups makes its document a query to the other group.
 5. A query opens a chunk only if its overlap with the chunk's token union reaches what the smallest member would need;
    then overlaps with all members are counted exactly.
-6. Links become components by alternating large-star and small-star steps on DataFrames.
+6. Every pair is asked once, so sums of what is found, weighted by class sizes, are the links of each row. They are
+   summed where they are found: what leaves a chunk is one row for each member and query, not for each link.
+7. Links become components by alternating large-star and small-star steps on DataFrames.
 """
 
 from __future__ import annotations
@@ -186,76 +187,87 @@ class Chunk:
         return np.flatnonzero(DEN * both >= NUM * (n + self.sizes - both))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    for b in batches:
-        yield from zip(b.column("chunk").to_pylist(), b.column("side").to_pylist(), b.column("rep").to_pylist(), (np.frombuffer(x, U64) for x in b.column("tokens").to_pylist()), strict=True)
+class Forest:
+    """Members of a chunk joined to trees."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def join(self, i: int, others: list[int]) -> None:
+        for j in {self.root(j) for j in others}:
+            self.parent[j] = self.root(i)
+
+
+def _found(rep: list[int], root: list[int], links: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep, root, links)], names=["rep", "root", "links"])
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside chunks as rep, root; main says that the root is the group's centre, which stands in all its chunks (side 1)."""
-    chunk, hub, ids, sets = None, None, [], []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        c = Chunk(ids, sets)
-        parent = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, s in enumerate(sets):
-            mates = c.linked(s)
-            for j in {root(j) for j in mates[mates < i].tolist()}:
-                parent[j] = root(i)
-        roots = np.array([root(i) for i in range(len(ids))], np.int64)
-        main = roots[ids.index(hub)] if hub is not None else -1
-        name = {}
-        for i, r in enumerate(roots.tolist()):
-            name[r] = min(name.get(r, ids[i]), ids[i])
-        if hub is not None:
-            name[int(main)] = hub
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array([name[r] for r in roots.tolist()], pa.int64()), pa.array(roots == main)], names=["chunk", "rep", "root", "main"])
-
-    for at, side, rep, tokens in _runs(batches):
-        if at != chunk:
-            if ids:
-                yield from close()
-            chunk, hub, ids, sets = at, None, [], []
-        if side:
-            hub = rep
-            if rep in ids:
-                continue
-        elif rep == hub:
-            continue
-        ids.append(rep)
-        sets.append(tokens)
+    """Per member of a chunk: rep, root (one member of those connected inside the chunk), links (rows of other members linked with it)."""
+    chunk, ids, weights, sets = None, [], [], []
+
+    def close() -> pa.RecordBatch:
+        c, forest, w = Chunk(ids, sets), Forest(len(ids)), np.array(weights, np.int64)
+        links = []
+        for i, x in enumerate(sets):
+            mates = c.linked(x)
+            links.append(int(w[mates].sum() - w[i]))
+            forest.join(i, mates[mates < i].tolist())
+        return _found(ids, [ids[forest.root(i)] for i in range(len(ids))], links)
+
+    for b in batches:
+        for at, rep, weight, tokens in zip(*(b.column(c).to_pylist() for c in ("chunk", "rep", "weight", "tokens")), strict=True):
+            if at != chunk:
+                if ids:
+                    yield close()
+                chunk, ids, weights, sets = at, [], [], []
+            ids.append(rep)
+            weights.append(weight)
+            sets.append(np.frombuffer(tokens, U64))
     if ids:
-        yield from close()
+        yield close()
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of queries (side 1) with members (side 0) of chunks, as rep, root."""
-    at, ids, sets, index = None, [], [], None
-    a, b = [], []
-    for chunk, side, rep, tokens in _runs(batches):
-        if chunk != at:
-            at, ids, sets, index = chunk, [], [], None
-        if side == 0:
-            ids.append(rep)
-            sets.append(tokens)
-            continue
-        index = index or Chunk(ids, sets)
-        for m in index.ids[index.linked(tokens)].tolist():
-            if m != rep:
-                a.append(rep)
-                b.append(m)
-        if len(a) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["rep", "root"])
-            a, b = [], []
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["rep", "root"])
+    """Queries (side 1) asked against members (side 0) of the same chunk and asker: per query and per member with links, rep, root (linked with it), links (rows)."""
+    key, ids, weights, sets, index = None, [], [], [], None
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+
+    def close() -> None:
+        if index:
+            some = np.flatnonzero(links).tolist()
+            for column, more in zip(out, ([ids[i] for i in some], [ids[forest.root(i)] for i in some], links[some].tolist()), strict=True):
+                column.extend(more)
+
+    for b in batches:
+        for *at, side, rep, weight, tokens in zip(*(b.column(c).to_pylist() for c in ("chunk", "asker", "side", "rep", "weight", "tokens")), strict=True):
+            if at != key:
+                close()
+                key, ids, weights, sets, index = at, [], [], [], None
+            if side == 0:
+                ids.append(rep)
+                weights.append(weight)
+                sets.append(np.frombuffer(tokens, U64))
+                continue
+            if index is None:
+                index, forest, w, links = Chunk(ids, sets), Forest(len(ids)), np.array(weights, np.int64), np.zeros(len(ids), np.int64)
+            mates = index.linked(np.frombuffer(tokens, U64))
+            if len(mates):
+                links[mates] += weight
+                forest.join(int(mates[0]), mates[1:].tolist())
+                for column, x in zip(out, (rep, ids[mates[0]], int(w[mates].sum())), strict=True):
+                    column.append(x)
+            if len(out[0]) > 10_000:
+                yield _found(*out)
+                out = ([], [], [])
+    close()
+    if out[0]:
+        yield _found(*out)
 
 
 #: Share of a set that must stand behind a token, by how many classes (-6 to 6) the other set is larger, at least.
@@ -372,10 +384,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: row, doc_id, n_shingles, component_row, component_id.
+    """Per row: row, doc_id, n_shingles, n_links, component_row, component_id.
 
     Words are runs of non-blank characters with A-Z lower-cased; a row's set holds its distinct 5-word shingles, with
-    fewer words its whole sequence as one. Rows link when 100 * intersection >= 80 * union. component_id is the smallest
+    fewer words its whole sequence as one. Rows link when 100 * intersection >= 80 * union. n_links is the number of
+    other rows that a row is linked with, copies of it included. component_id is the smallest
     doc_id among rows reachable by links; component_row, the same for all these rows and no others, numbers components.
     Null and blank texts have empty sets and are linked with nothing. Null ids are passed over for component_id, which
     is null only where all are. Rows repeated under one id are linked by their texts like any others. An empty table
@@ -385,7 +398,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     common = spark.sparkContext.broadcast(common_tokens(d))
     sig = materialize(_signatures(d, common), "join-signatures")
-    classes = materialize(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "join-classes")
+    classes = materialize(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")), "join-classes")
     is_rep = bounded(classes.select(F.col("rep").alias("row")))
     reps = sig.where("n > 0").join(is_rep, "row", "left_semi")
 
@@ -395,16 +408,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     placed = sized.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     heads = placed.groupBy("centre", "part").agg(F.min("rep").alias("chunk"))
     placed = materialize(placed.join(heads, ["centre", "part"]).select("rep", "centre", "parts", "chunk"), "join-chunks")
-    members = placed.select("rep", "chunk", F.lit(0).alias("side"))
-    # The centre goes to every chunk of its group.
-    hubs = placed.select(F.col("centre").alias("rep"), "chunk", F.lit(1).alias("side")).distinct()
-    sets = _texts_of(d, members.unionAll(hubs))
-    within = materialize(sets.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(_within, "chunk long, rep long, root long, main boolean"), "join-within")
-    links = within.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    # Members of a cut group that are not connected with its centre are asked against its other chunks.
-    cut = placed.where("parts > 1")
-    chunks = cut.select("centre", F.col("chunk").alias("other")).distinct()
-    again = within.where("not main").join(cut.select("rep", "centre", "chunk"), ["rep", "chunk"]).join(chunks, "centre").where("other <> chunk").select(F.col("rep").alias("q"), F.col("other").alias("chunk"))
+    weights = classes.select("rep", "weight")
+    sets = _texts_of(d, placed.select("rep", "chunk").join(weights, "rep"))
+    within = materialize(sets.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_within, "rep long, root long, links long"), "join-within")
+    # Of two chunks of a cut group one is asked with all members of the other.
+    cut = placed.where("parts > 1").select("centre", "rep", "chunk")
+    chunks = cut.select("centre", "chunk").distinct()
+    two = chunks.join(chunks.withColumnRenamed("chunk", "asker"), "centre").where("asker < chunk").select("chunk", "asker")
+    members = placed.select("rep", "chunk")
+    again = two.join(members, "chunk").select("chunk", "asker", F.lit(0).alias("side"), "rep").unionAll(two.join(members.withColumnRenamed("chunk", "asker"), "asker").select("chunk", "asker", F.lit(1).alias("side"), "rep"))
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (DEN - NUM) / DEN * 24 / BUCKET_BYTES))
@@ -422,23 +434,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = pairs.join(parity.withColumnRenamed("row", "q"), "q").join(parity.select(F.col("row").alias("target"), F.col("n").alias("m"), F.col("parity").alias("other")), "target")
     alone = materialize(pairs.select("q", "target", "n", "parity", "m", "other").mapInArrow(_may_link, "q long, target long"), "join-pairs").select("q", F.col("target").alias("chunk"))
     grouped = of_many.where(F.col("size") > TAKEN_APART).select("q", "centre").join(placed.select("centre", "chunk").distinct(), "centre").select("q", "chunk")
-    asked = materialize(again.unionAll(alone).unionAll(grouped), "join-asked")
-    opened = asked.select("chunk").distinct()
-    inside = placed.select("rep", "chunk").join(opened, "chunk").unionAll(alone.select(F.col("chunk").alias("rep"), "chunk").distinct())
-    needed = inside.select("rep").unionAll(asked.select(F.col("q").alias("rep"))).distinct()
-    texts = materialize(_texts_of(d, needed), "join-sets")
-    sides = texts.join(inside, "rep").select("chunk", F.lit(0).alias("side"), "rep", "tokens").unionAll(texts.join(asked.withColumnRenamed("q", "rep"), "rep").select("chunk", F.lit(1).alias("side"), "rep", "tokens"))
-    across = sides.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(_asked, "rep long, root long")
-    links = links.unionAll(across.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # Askers below 0 keep chunks of one member, chunks of groups and pairs of chunks apart.
+    asked = materialize(alone.withColumn("asker", F.lit(-2)).unionAll(grouped.withColumn("asker", F.lit(-1))), "join-asked")
+    opened = asked.where("asker = -1").select("chunk").distinct()
+    inside = placed.select("rep", "chunk").join(opened, "chunk").select("chunk", F.lit(-1).alias("asker"), "rep").unionAll(alone.select("chunk", F.lit(-2).alias("asker"), F.col("chunk").alias("rep")).distinct())
+    sides = inside.select("chunk", F.col("asker").cast("long"), F.lit(0).alias("side"), "rep").unionAll(asked.select("chunk", F.col("asker").cast("long"), F.lit(1).alias("side"), F.col("q").alias("rep"))).unionAll(again)
+    sides = materialize(sides, "join-sides")
+    texts = materialize(_texts_of(d, sides.select("rep").distinct().join(weights, "rep")), "join-sets")
+    across = texts.join(sides, "rep").select("chunk", "asker", "side", "rep", "weight", "tokens").repartition("chunk", "asker").sortWithinPartitions("chunk", "asker", "side")
+    found = within.unionAll(materialize(across.mapInArrow(_asked, "rep long, root long, links long"), "join-across"))
+    links = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
 
     named = components(links)
     least = named.join(classes.select(F.col("rep").alias("node"), "least"), "node")
     of = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("rep"), "root", "component_id")
-    of = classes.select("h1", "h2", "rep", "least").join(of, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_row"), F.coalesce("component_id", "least").alias("component_id"))
+    of = classes.select("h1", "h2", "rep", "least", "weight").join(of, "rep", "left").join(counts, "rep", "left")
+    of = of.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_row"), F.coalesce("component_id", "least").alias("component_id"))
     of = materialize(of, "join-components")
     rows = sig.select("row", "doc_id", "h1", "h2", "n")
-    some = rows.where("n > 0").join(of, ["h1", "h2"]).select("row", "doc_id", F.col("n").alias("n_shingles"), "component_row", "component_id")
-    return some.unionAll(rows.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("row").alias("component_row"), F.col("doc_id").alias("component_id")))
+    some = rows.where("n > 0").join(of, ["h1", "h2"]).select("row", "doc_id", F.col("n").alias("n_shingles"), "n_links", "component_row", "component_id")
+    return some.unionAll(rows.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("row").alias("component_row"), F.col("doc_id").alias("component_id")))
 
 
 def digest(joined: DataFrame) -> DataFrame:

@@ -392,6 +392,20 @@ def test_jaccard_components(spark, monkeypatch, tokens):
     assert got == _components(rows)
 
 
+@pytest.mark.parametrize("tokens, apart", [(1 << 18, 32), (300, 2), (300, 32), (100, 0)])
+def test_jaccard_links_of_each_row(spark, monkeypatch, tokens, apart):
+    monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(jaccard_join, "TAKEN_APART", apart)
+    rng = random.Random(tokens)
+    base = [f"b{i}" for i in range(60)]
+    cluster = [(30_000 + i, " ".join(base[: 60 - rng.randrange(6)] + [f"t{rng.randrange(9)}"] * rng.randrange(2))) for i in range(70)]
+    rows = _near(rng) + ODD[:8] + cluster
+    sets = [_sets(t) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    wanted = sorted((str(d), sum(linked(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True)))
+    assert sorted((str(r.doc_id), r.n_links) for r in jaccard_join.join(docs(spark, rows)).collect()) == wanted
+
+
 def test_jaccard_at_the_border_and_empty(spark):
     a = [f"w{i}" for i in range(13)]  # 9 shingles; one word more is 10, of which 9 are shared
     rows = [(3, " ".join(a)), (2, " ".join([*a, "x"])), (1, " ".join([*a, "x", "y", "z"])), (9, "A b"), (8, "a  B"), (7, "")]
