@@ -437,14 +437,17 @@ class Decoder:
 
     def __init__(self):
         self.fields, self.strings, self.macs = Slots(), Slots(), Slots()
+        self.numbers: dict[int, int | float] = {}  # slot of a field: its last number
+        self.slot = self.current = None  # slot of the field read last, and of that whose value is read
 
     def reset(self) -> None:
         for s in (self.fields, self.strings, self.macs):
             s.reset()
+        self.numbers.clear()
 
     def items(self, data: bytes) -> list:
         """All values and batches of a frame's data. A stream of batches is one list of batches."""
-        self.data, self.at, out = data, 0, []
+        self.data, self.at, self.current, out = data, 0, None, []
         while self.at < len(data):
             out.append(self.item())
         return out
@@ -466,18 +469,47 @@ class Decoder:
         t = self._take(1)[0]
         if t == NEW_FIELD:
             name = self._take(self._varint()).decode()
-            self.fields.get_or_add(name)
+            self.slot, _ = self.fields.get_or_add(name)
             return name
         if t < STRING:
+            self.slot = t
             return self.fields.get(t)
         raise FormatError(f"{t:#x} is no field")
 
+    def _of(self, slot: int | None, read):
+        """What read() gives as a value of the field in this slot."""
+        before, self.current = self.current, slot
+        out = read()
+        self.current = before
+        return out
+
+    def _number(self, x: int | float) -> int | float:
+        """x, which the next delta of the field is added to."""
+        if self.current is not None:
+            self.numbers[self.current] = x
+        return x
+
+    def _moved(self, d: int) -> int | float:
+        """The field's last number and a delta, which counts in 1/65536 if that number is a float."""
+        if self.current not in self.numbers:
+            raise FormatError("delta without a number before it")
+        last = self.numbers[self.current]
+        return self._number(last + (d / Q16 if isinstance(last, float) else d))
+
     def value(self):
         t = self._take(1)[0]
         if t == INT:
-            return unzigzag(self._varint())
+            return self._number(unzigzag(self._varint()))
         if t == DOUBLE:
-            return struct.unpack("<d", self._take(8))[0]
+            return self._number(struct.unpack("<d", self._take(8))[0])
+        if t in (SAME, UP, DOWN):
+            return self._moved({SAME: 0, UP: 1, DOWN: -1}[t])
+        if SMALL <= t < LARGE:
+            return self._moved(t - SMALL - 8)
+        if t == MEDIUM:
+            return self._moved(self._take(1)[0] - 64)
+        if t == LARGE:
+            return self._moved(unzigzag(self._varint()))
         if t == NEW_STRING:
             s = self._take(self._varint()).decode()
             self.strings.get_or_add(s)
@@ -498,7 +530,9 @@ class Decoder:
             if n > 4 and stop < len(self.data) and self.data[stop] == ARRAY_END and self.data[self.at : stop : 9] == bytes([DOUBLE]) * n:
                 raw = np.frombuffer(self._take(9 * n), np.uint8).reshape(-1, 9)[:, 1:]
                 self.at += 1
-                return np.ascontiguousarray(raw).view("<f8").ravel().tolist()
+                out = np.ascontiguousarray(raw).view("<f8").ravel().tolist()
+                self._number(out[-1])
+                return out
             out = []
             while self.data[self.at] != ARRAY_END and len(out) < n:
                 out.append(self.value())
@@ -515,15 +549,15 @@ class Decoder:
             out = {}
             while self.data[self.at] != OBJECT_END:
                 name = self.field()
-                out[name] = self.value()
+                out[name] = self._of(self.slot, self.value)
             self.at += 1
             return out
         if t == BINARY:
             return self._take(self._varint())
         if t == FIXED16:
-            return int.from_bytes(self._take(2), "little", signed=True) / 256
+            return self._number(int.from_bytes(self._take(2), "little", signed=True) / 256)
         if t == FIXED32:
-            return int.from_bytes(self._take(4), "little", signed=True) / Q16
+            return self._number(int.from_bytes(self._take(4), "little", signed=True) / Q16)
         if t in (BITS1, BITS2):
             n, each = self._varint(), 1 if t == BITS1 else 2
             bits = np.unpackbits(np.frombuffer(self._take(-(-n * each // 8)), np.uint8), bitorder="little")[: n * each].reshape(-1, each)
@@ -534,8 +568,9 @@ class Decoder:
         kind = self._take(1)[0]
         n, width = self._varint(), self._varint()
         if kind == RECORDS:
-            names = [self.field() for _ in range(width)]
-            rows = [[self.value() for _ in names] for _ in range(n)]
+            fields = [(self.field(), self.slot) for _ in range(width)]
+            names = [name for name, _ in fields]
+            rows = [[self._of(slot, self.value) for _, slot in fields] for _ in range(n)]
             return Batch(n, names, [([r[i] for r in rows], None) for i in range(width)])
         if kind == COLUMNS:
             names = [self.field() for _ in range(width)]

@@ -124,12 +124,30 @@ def field_deltas(df: DataFrame, field: str, value: str, order: Sequence[str], ke
     """The stand-alone coder per field: kind of token and stored number for each value.
 
     The first value of a field is absolute: as 8.8 fixed point within -128 to 127, else as 16.16. Later ones are open-loop
-    deltas on the 8.8 grid, small (-8 to 7) or large.
+    deltas on the 8.8 grid, small (-8 to 7) or large. Of a column of integers the first one is stored as it is (int), and
+    deltas are plain differences.
     """
     w = Window.partitionBy(*keys, field).orderBy(*order)
     before = F.lag(value).over(w)
+    if dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint"):
+        d = F.col(value).cast("long") - before
+        kind = F.when(before.isNull(), "int").when(d.between(-8, 7), "small").otherwise("large")
+        return df.withColumn("kind", kind).withColumn("stored", F.when(before.isNull(), F.col(value)).otherwise(d).cast("long"))
     d = F.rint((F.col(value) - before) * 256)
     absolute16 = F.col(value).between(-128, 127)
     kind = F.when(before.isNull(), F.when(absolute16, "fixed16").otherwise("fixed32")).when(d.between(-8, 7), "small").otherwise("large")
     stored = F.when(before.isNull(), F.when(absolute16, F.rint(F.col(value) * 256)).otherwise(F.rint(F.col(value) * 65536))).otherwise(d)
     return df.withColumn("kind", kind).withColumn("stored", stored.cast("long"))
+
+
+def field_values(df: DataFrame, field: str, order: Sequence[str], keys: Sequence[str] = (), integers: bool = False, out: str = "value") -> DataFrame:
+    """Values of field_deltas()' rows, longs for integers and else doubles: an absolute one, and running sums of deltas up to the next.
+
+    Deltas of doubles are open-loop, so a value is as far off as the roundings since its absolute one add up to.
+    """
+    w = Window.partitionBy(*keys, field).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scale = F.when(F.col("kind") == "fixed32", Q16).otherwise(256.0)
+    first = F.col("kind").isin("int", "fixed16", "fixed32")
+    df = df.withColumn("_step", F.col("stored") if integers else F.col("stored") / scale).withColumn("_run", F.sum(first.cast("long")).over(w))
+    w = Window.partitionBy(*keys, field, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.when(F.col("stored").isNotNull(), F.sum("_step").over(w))).drop("_step", "_run")

@@ -324,6 +324,18 @@ def field_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", "kind", "stored")
 
 
+@query("""WITH w AS (SELECT event_type, user_id, event_id, value, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events)
+    SELECT event_id, event_id AS whole, sum(CASE WHEN before IS NOT NULL THEN round_even((value - before) * 256, 0) / 256 WHEN value BETWEEN -128 AND 127 THEN round_even(value * 256, 0) / 256 ELSE round_even(value * 65536, 0) / 65536 END)
+    OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS value FROM w""")
+def field_deltas_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers come back as they were, doubles on their grids."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value", F.col("event_id").alias("o"))
+    at = dict(field="event_type", order=["o"], keys=["user_id"])
+    d = sequences.field_values(sequences.field_deltas(e, value="event_id", **at).drop("event_id"), integers=True, out="whole", **at).drop("kind", "stored")
+    d = sequences.field_values(sequences.field_deltas(d, value="value", **at).drop("value"), **at)
+    return d.select(F.col("o").alias("event_id"), "whole", "value")
+
+
 @query("WITH h AS (SELECT role, hex(encode(coalesce(text, ''))) AS h FROM conversations), b AS (SELECT role, unnest(regexp_extract_all(h, '..')) AS b FROM h) SELECT role, CAST(('0x' || b)::INTEGER AS INTEGER) AS byte, count(*) AS n FROM b GROUP BY ALL")
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.byte_histogram(table(spark, sf_dir, "conversations"), "text", ["role"])

@@ -142,3 +142,14 @@ def test_command_line(spark, tmp_path):
 def test_huffman_table_is_a_full_code(spark):
     t = registry.queries()["huffman_codes"](spark, SF).groupBy("role").agg(F.sum(F.pow(F.lit(2.0), -F.col("bits"))).alias("kraft"), F.count("code").alias("n"), F.countDistinct("code").alias("d")).collect()
     assert t and all(r.kraft == 1.0 and r.n == r.d for r in t)
+
+
+def test_field_deltas_of_integers_and_gaps(spark):
+    rows = [("a", i, v, f) for i, (v, f) in enumerate([(2**62, 1.5), (2**62 + 7, None), (2**62 - 1, 300.25), (None, 300.5), (5, -4.0), (-9, -4.0)])] + [("b", 0, None, None), ("b", 1, 3, 128.0)]
+    d = spark.createDataFrame(rows, "f string, o int, whole long, value double")
+    whole = sequences.field_deltas(d, "f", "whole", ["o"])
+    assert [(r.kind, r.stored) for r in whole.where("f = 'a'").orderBy("o").collect()] == [("int", 2**62), ("small", 7), ("small", -8), ("large", None), ("int", 5), ("large", -14)]
+    back = sequences.field_values(whole, "f", ["o"], integers=True, out="back").collect()
+    assert all(r.back == r.whole for r in back) and len(back) == 8
+    back = sequences.field_values(sequences.field_deltas(d, "f", "value", ["o"]), "f", ["o"], out="back").collect()
+    assert all(r.back == r.value for r in back) and len(back) == 8

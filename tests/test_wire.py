@@ -97,6 +97,23 @@ def test_dictionaries_live_on_and_reset():
     assert wire.encode_records([{"s": "word"}, {"s": "w0"}], e) == units[0]
 
 
+def test_deltas_in_place_of_values():
+    name = lambda x: bytes([wire.NEW_FIELD, 1]) + x.encode()
+    again = lambda *fields: b"".join(bytes([wire.OBJECT, *x, wire.OBJECT_END]) for x in fields)
+    first = bytes([wire.OBJECT]) + name("a") + bytes([wire.INT, 20]) + name("b") + bytes([wire.FIXED16, 128, 1]) + bytes([wire.OBJECT_END])
+    deltas = [(wire.SAME,), (wire.UP,), (wire.DOWN,), (wire.SMALL,), (wire.LARGE - 1,), (wire.MEDIUM, 0), (wire.LARGE, 0xC8, 1)]
+    got = wire.Decoder().items(first + again(*[(0, *d) for d in deltas]) + again(*[(1, *d) for d in deltas]))
+    steps = [0, 1, -1, -8, 7, -64, 100]
+    assert got[0] == {"a": 10, "b": 1.5}
+    assert [x["a"] for x in got[1:8]] == [10 + sum(steps[: i + 1]) for i in range(7)]
+    assert [x["b"] for x in got[8:]] == [1.5 + sum(steps[: i + 1]) / 65536 for i in range(7)]
+    rows = wire.Decoder().items(bytes([wire.RECORDS, 2, 2]) + name("a") + name("b") + bytes([wire.INT, 20, wire.INT, 2, wire.UP, wire.DOWN]))
+    assert rows[0].rows() == [{"a": 10, "b": 1}, {"a": 11, "b": 0}]
+    for data in (bytes([wire.UP]), bytes([wire.OBJECT]) + name("a") + bytes([wire.UP, wire.OBJECT_END])):
+        with pytest.raises(wire.FormatError):
+            wire.Decoder().items(data)
+
+
 def test_damage_is_seen():
     frame = wire.encode_records([{"a": i, "s": "text"} for i in range(20)])
     for i in range(len(frame)):
