@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import packing, profiles
+from ..session import scratch_path
 from ..sources import json as json_source
 from ..sources import packed as packed_source
 from ..streaming import frames
@@ -21,16 +20,6 @@ TABLES = {
 }
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='recordloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/recordloom/{name}-{uuid.uuid4().hex}"
-
-
 def _pack_query(name: str, order: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = table(spark, sf_dir, name)
@@ -105,7 +94,7 @@ def frame_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines, read again, packed as single records, and unpacked."""
     t = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    path = _scratch(spark, "lines")
+    path = scratch_path(spark, "lines")
     json_source.write_lines(t, path)
     back = json_source.read_lines(spark, path, t.schema)
     return packing.unpack(packing.pack(back, ["event_id"], layout="rows", compress="lz"), t.schema)
@@ -116,7 +105,7 @@ def packed_source_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written and read by the data source."""
     t = table(spark, sf_dir, "orders")
     packed_source.register(spark)
-    path = _scratch(spark, "files").removeprefix("file://").removeprefix("file:")
+    path = scratch_path(spark, "files").removeprefix("file://").removeprefix("file:")
     t.write.format("recordloom").mode("append").option("path", path).save()
     return spark.read.format("recordloom").schema(t.schema).option("path", path).load()
 
@@ -136,7 +125,7 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     record = F.to_json(F.struct("user_id", "event_id", "event_type", "value"))
     units = frames.encode_stream(events.select(F.pmod("user_id", F.lit(8)).alias("stream"), "event_id", record.alias("json")), "stream", "event_id")
-    paths = [_scratch(spark, x) for x in ("units", "units-state", "small", "small-state", "plain", "plain-state", "records", "records-state")]
+    paths = [scratch_path(spark, x) for x in ("units", "units-state", "small", "small-state", "plain", "plain-state", "records", "records-state")]
     schema = "stream string, seq long, payload binary"
 
     def run(df: DataFrame, at: int) -> None:
