@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,9 +11,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast when it has at most this many rows of a few fixed-width columns (about 32 MB).
-BROADCAST_ROWS = 1_000_000
+from ..session import discard, materialize, scratch_path, ship  # noqa: F401
+
+#: A side of a join is broadcast up to so many bytes; what a row of it takes beside its columns.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 24
 #: Text bytes that one step of a numpy kernel takes at once; a longer text is a step by itself.
 STEP_BYTES = 4 << 20
 
@@ -22,26 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='recordloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
+def prepared(spark: SparkSession) -> SparkSession:
+    """The package on all workers, and fewer rows in an Arrow batch than by default: a row may hold a long text.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages start from files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Queries and stages ask for this; operators by themselves leave the session's settings alone.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ship(spark)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df itself, which is then joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, of fixed-width columns, marked for broadcast if its rows take at most so many bytes in a hash table; else df itself, which is then joined by a shuffle."""
+    assert all(isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in df.schema), "only columns of fixed width have a known size"
+    return F.broadcast(df) if df.count() * (ROW_BYTES + 8 * len(df.columns)) <= most else df
 
 
 def free_name(base: str, taken: Iterable[str]) -> str:
@@ -65,36 +62,44 @@ def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator
         at = to
 
 
-def map_steps(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow with a kernel that sees a bounded number of text bytes at a time."""
+def map_steps(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", key: object = None) -> DataFrame:
+    """mapInArrow with a kernel that sees a bounded number of text bytes at a time. key: of what the kernel asks held() for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for(key)
         for batch in batches:
             for piece in steps(batch, text):
                 out = kernel(piece)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch than by default: a row may hold a long text, and each running task holds some batches."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: a worker waits for other stages' tasks, maybe for long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _HELD: list[tuple[object, object]] = []
 
 
-def held(key: object, make: Callable[[], object]) -> object:
-    """What make() gives, kept in this Python process until another key is asked for.
+def held_for(key: object) -> None:
+    """Let go of what this Python process keeps under other keys.
 
     Workers serve one stage after another; what an earlier stage remembered must not add to what a later one needs.
     """
-    if not _HELD or _HELD[0][0] != key:
+    if _HELD and _HELD[0][0] != key:
         _HELD.clear()
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept in this Python process until another key is asked for."""
+    held_for(key)
+    if not _HELD:
         _HELD.append((key, make()))
     return _HELD[0][1]
 

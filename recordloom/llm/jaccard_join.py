@@ -25,16 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_BLANK, U64, gram_hashes, mix, words_of
-from .common import bounded, map_steps, materialize
+from .common import bounded, discard, give_back, held_for, map_steps, materialize
 
 #: Words of a shingle; similarity asked for, as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
-#: One text in so many is looked at for common tokens; met so often there, a token is common; at most so many are kept.
-SAMPLED, COMMON, COMMON_KEPT = 64, 3, 100_000
+#: One text in so many is looked at for common tokens; met so often there, a token is common. Of these the most common
+#: are kept, 8 MiB of numbers: the order of tokens steers the work and loses no link, whichever tokens go last.
+SAMPLED, COMMON, COMMON_KEPT = 64, 3, 1 << 20
 #: Bins of a sketch; tokens of a chunk; bytes of a bucket of prefix tokens.
 BINS, CHUNK_TOKENS, BUCKET_BYTES = 8, 1 << 18, 16 << 20
 #: Members of a group up to which a query is compared with each by itself.
 TAKEN_APART = 32
+#: Queries that one task asks against a chunk; with more of them its members go to several tasks.
+QUERIES = 8192
 _NONE = np.zeros(0, U64)
 
 
@@ -128,20 +131,23 @@ def _signatures(docs: DataFrame, common) -> DataFrame:
     return map_steps(docs, kernel, "row long, doc_id long, h1 long, h2 long, n long, sketch array<long>, prefix binary, parity binary")
 
 
-def _groups(reps: DataFrame) -> DataFrame:
-    """rep, centre: representatives that agree with a centre in at least half of their sketch. Others are alone."""
+def _groups(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """rep, centre: representatives that agree with a centre in at least half of their sketch; others are alone. And tables to discard.
+
+    Counts and centres by sketch value are written before they are joined: a join of two tables read from files can
+    be dealt anew where one value is very common.
+    """
     s = reps.select(F.col("row").alias("rep"), F.size("sketch").alias("bins"), F.explode("sketch").alias("v"))
-    counts = s.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    s = materialize(s.join(counts, "v"), "join-sketches")
+    counts = materialize(s.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "join-counts")
+    met = materialize(s.join(counts, "v"), "join-sketches")
     # The most central of a bucket is the one whose whole sketch is most common.
-    score = s.groupBy("rep").agg(F.sum("c").alias("score"))
-    scored = s.join(score, "rep")
-    centres = scored.groupBy("v").agg(F.max(F.struct("score", F.col("rep").alias("centre"))).alias("m"))
-    picks = s.join(centres, "v").groupBy("rep", "bins", "m").agg(F.count(F.lit(1)).alias("agree")).where(F.col("agree") * 2 >= F.col("bins"))
+    score = met.groupBy("rep").agg(F.sum("c").alias("score"))
+    centres = materialize(met.join(score, "rep").groupBy("v").agg(F.max(F.struct("score", F.col("rep").alias("centre"))).alias("m")), "join-centres")
+    picks = met.join(centres, "v").groupBy("rep", "bins", "m").agg(F.count(F.lit(1)).alias("agree")).where(F.col("agree") * 2 >= F.col("bins"))
     best = picks.groupBy("rep").agg(F.max(F.struct("agree", "m.score", "m.centre")).alias("b")).select("rep", F.col("b.centre").alias("centre")).where("rep <> centre")
     best = materialize(best, "join-picks")
     centre = best.select(F.col("centre").alias("rep")).distinct()
-    return best.join(centre, "rep", "left_anti").unionAll(centre.select("rep", F.col("rep").alias("centre")))
+    return best.join(centre, "rep", "left_anti").unionAll(centre.select("rep", F.col("rep").alias("centre"))), [counts, met, centres, best]
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,6 +208,14 @@ class Forest:
         for j in {self.root(j) for j in others}:
             self.parent[j] = self.root(i)
 
+    def least(self, ids: list[int]) -> list[int]:
+        """The smallest id in each member's tree."""
+        roots = [self.root(i) for i in range(len(ids))]
+        best: dict[int, int] = {}
+        for r, x in zip(roots, ids, strict=True):
+            best[r] = min(x, best.get(r, x))
+        return [best[r] for r in roots]
+
 
 def _found(rep: list[int], root: list[int], links: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep, root, links)], names=["rep", "root", "links"])
@@ -209,6 +223,7 @@ def _found(rep: list[int], root: list[int], links: list[int]) -> pa.RecordBatch:
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per member of a chunk: rep, root (one member of those connected inside the chunk), links (rows of other members linked with it)."""
+    held_for(None)
     chunk, ids, weights, sets = None, [], [], []
 
     def close() -> pa.RecordBatch:
@@ -218,7 +233,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mates = c.linked(x)
             links.append(int(w[mates].sum() - w[i]))
             forest.join(i, mates[mates < i].tolist())
-        return _found(ids, [ids[forest.root(i)] for i in range(len(ids))], links)
+        return _found(ids, forest.least(ids), links)
 
     for b in batches:
         for at, rep, weight, tokens in zip(*(b.column(c).to_pylist() for c in ("chunk", "rep", "weight", "tokens")), strict=True):
@@ -231,17 +246,19 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets.append(np.frombuffer(tokens, U64))
     if ids:
         yield close()
+    give_back()
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries (side 1) asked against members (side 0) of the same chunk and asker: per query and per member with links, rep, root (linked with it), links (rows)."""
+    held_for(None)
     key, ids, weights, sets, index = None, [], [], [], None
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
 
     def close() -> None:
         if index:
-            some = np.flatnonzero(links).tolist()
-            for column, more in zip(out, ([ids[i] for i in some], [ids[forest.root(i)] for i in some], links[some].tolist()), strict=True):
+            some, root = np.flatnonzero(links).tolist(), forest.least(ids)
+            for column, more in zip(out, ([ids[i] for i in some], [root[i] for i in some], links[some].tolist()), strict=True):
                 column.extend(more)
 
     for b in batches:
@@ -268,15 +285,34 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     close()
     if out[0]:
         yield _found(*out)
+    give_back()
 
 
 #: Share of a set that must stand behind a token, by how many classes (-6 to 6) the other set is larger, at least.
 _REST = NUM / (NUM + DEN) * (1 + np.exp((np.arange(-6, 7) - 1) * np.log(1.25) / 4)) - 1e-9
-#: Marks the number of a group of several; a representative alone is its own group.
-_MANY = U64(1 << 63)
+#: Marks the number of a group of several, and of one too large to be taken apart; a representative alone is its own group.
+_MANY, _LARGE = U64(1 << 63), U64(1 << 62)
+
+
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tokens >> U64(40)) % U64(buckets)).astype(np.int64)
 
 
-def _pack(buckets: int):
+def _counted(buckets: int):
+    """Prefix tokens of a partition by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for(None)
+        n = np.zeros(buckets, np.int64)
+        for b in batches:
+            n += np.bincount(_bucket(np.frombuffer(b"".join(b.column("prefix").to_pylist()), U64), buckets), minlength=buckets)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _pack(buckets: int, apart: int):
     """Prefix tokens by bucket of their hash, many in a row: token, place and size class; representative; group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +328,10 @@ def _pack(buckets: int):
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             place = (place * 255 // n).astype(U64)
             rep = np.repeat(b.column("row").to_numpy().view(U64), sizes)
-            centre = b.column("centre").fill_null(-1).to_numpy()
-            group = np.repeat(np.where(centre >= 0, centre.astype(np.int64).view(U64) | _MANY, b.column("row").to_numpy().view(U64)), sizes)
-            bucket = ((tokens >> U64(40)) % U64(buckets)).astype(np.int64)
+            centre, row = b.column("centre").fill_null(-1).to_numpy(), b.column("row").to_numpy()
+            mark = np.where(b.column("size").fill_null(0).to_numpy() > apart, _MANY | _LARGE, _MANY)
+            group = np.repeat(np.where(centre >= 0, centre.astype(np.int64).view(U64) | mark, row.view(U64)), sizes)
+            bucket = _bucket(tokens, buckets)
             order = np.argsort(bucket, kind="stable")
             entry = np.stack([(tokens & ~U64(0xFFFF)) | place << U64(8) | classes, rep, group])[:, order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -304,86 +341,143 @@ def _pack(buckets: int):
     return run
 
 
+def _distinct_pairs(found: list[np.ndarray]) -> np.ndarray:
+    pairs = np.concatenate(found)
+    if len(pairs):
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+    return pairs
+
+
 def candidates(entry: np.ndarray, rep: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct queries and the groups they have to be asked against, from the prefix tokens of one bucket."""
+    """Distinct queries and the groups they have to be asked against, from the prefix tokens of one bucket.
+
+    A token's entries in one group are looked at as a whole first: what the group's members hold between them bounds
+    what one of them can. So the work follows the groups that share a token, not the pairs of their members.
+    """
     order = np.lexsort((group, entry >> U64(16)))
     entry, rep, group = entry[order], rep[order], group[order]
-    token, size, left_share = entry >> U64(16), (entry & U64(255)).astype(np.int64), 1 - ((entry >> U64(8)) & U64(255)).astype(float) / 255
-    head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(token))
-    mixed = group[head] != group[tail - 1] if len(token) else np.zeros(0, bool)
+    if not len(entry):
+        return _NONE, _NONE
+    token, size, left = entry >> U64(16), (entry & U64(255)).astype(np.int64), 1 - ((entry >> U64(8)) & U64(255)).astype(float) / 255
+    # Parts: entries of one token and group. least and most: their size classes; room: the largest share of a set from the token on.
+    at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])))
+    to = np.append(at[1:], len(entry))
+    least, most, room = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(left, at)
+    head = np.flatnonzero(np.append(True, token[at][1:] != token[at][:-1]))
+    tail = np.append(head[1:], len(at))
+    several = tail - head > 1
+    head, tail = head[several], tail[several]
     found = [np.zeros((0, 2), U64)]
     waiting = 0
-    # Pairs at distance 1, 2, ... within a token's run; runs that are too short for a distance drop out.
-    head, tail = head[mixed], tail[mixed]
-    left = np.concatenate([np.arange(h, t) for h, t in zip(head, tail, strict=True)]) if len(head) else np.zeros(0, np.int64)
+
+    def may_meet(lo: np.ndarray, hi: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # Sets of classes lo to hi with a share x from the token on, and those of part j. If this is the first token that
+        # two sets share, all others stand behind it in both, and these must be NUM / (NUM + DEN) of both sizes
+        # together. The first shared one is met too, so others may be passed over. Class 255 has no upper end.
+        near = (least[j] - hi <= 5) & (lo - most[j] <= 5)
+        open_ = (hi == 255) | (most[j] == 255)
+        return near & (open_ | (x >= _REST[(least[j] - hi).clip(-6, 6) + 6]) & (room[j] >= _REST[(lo - most[j]).clip(-6, 6) + 6]))
+
+    # Parts at distance 1, 2, ... within a token's run; runs that are too short for a distance drop out.
+    first = np.concatenate([np.arange(h, t) for h, t in zip(head, tail, strict=True)]) if len(head) else np.zeros(0, np.int64)
     end = np.repeat(tail, tail - head)
     step = 1
-    while True:
-        keep = left + step < end
-        left, end = left[keep], end[keep]
-        if not len(left):
-            break
-        i, j = left, left + step
-        apart = size[j] - size[i]
-        good = (group[i] != group[j]) & (np.abs(apart) <= 5)
-        # If this is the first token that two sets share, all others stand behind it in both, and these must be
-        # NUM / (NUM + DEN) of both sizes together. The first shared one is met too, so others may be passed over.
-        good &= (left_share[i] >= _REST[apart.clip(-6, 6) + 6]) & (left_share[j] >= _REST[(-apart).clip(-6, 6) + 6]) | (size[i] == 255) | (size[j] == 255)
+    while len(first):
+        keep = first + step < end
+        first, end = first[keep], end[keep]
+        i, j = first, first + step
+        good = may_meet(least[i], most[i], room[i], j)
         i, j = i[good], j[good]
-        many_i, many_j = (group[i] & _MANY) > 0, (group[j] & _MANY) > 0
-        # One alone asks a group; of two of a kind the one with the smaller number asks. Groups are sorted, so i's is smaller.
-        query, asked = np.where(many_i & ~many_j, rep[j], rep[i]), np.where(many_i & ~many_j, group[i], group[j])
-        found.append(np.stack([query, asked], axis=1))
-        waiting += len(query)
-        if waiting > 2_000_000:
-            found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
+        # Groups are sorted, those of one representative first: one alone asks a group, and of two of a kind the one with the smaller number asks.
+        for k in range(0, len(i), 1 << 16):
+            n = to[i[k : k + (1 << 16)]] - at[i[k : k + (1 << 16)]]
+            member = np.repeat(at[i[k : k + (1 << 16)]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            asked = np.repeat(j[k : k + (1 << 16)], n)
+            good = may_meet(size[member], size[member], left[member], asked)
+            found.append(np.stack([rep[member[good]], group[at[asked[good]]]], axis=1))
+            waiting += int(good.sum())
+            if waiting > 2_000_000:
+                found, waiting = [_distinct_pairs(found)], 0
         step += 1
-    pairs = np.concatenate(found)
-    if len(pairs):
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
-        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+    pairs = _distinct_pairs(found)
     return pairs[:, 0], pairs[:, 1]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of the one bucket that a partition holds."""
+    """Candidates of the one bucket, or pair of blocks of a large bucket, that a partition holds: q, target, kind (0 a representative, 1 a group, 2 a large one)."""
+    held_for(None)
     cols: list[list[bytes]] = [[], [], []]
     for b in batches:
         for c, name in zip(cols, ("entry", "reps", "groups"), strict=True):
             c += b.column(name).to_pylist()
     q, g = candidates(*(np.frombuffer(b"".join(c), U64) for c in cols))
-    many = (g & _MANY) > 0
+    kind = ((g & _MANY) > 0).astype(np.int32) + ((g & _LARGE) > 0)
     for i in range(0, len(q), 100_000):
         s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(q[s].view(np.int64)), pa.array((g[s] & ~_MANY).view(np.int64)), pa.array(many[s])], names=["q", "target", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(q[s].view(np.int64)), pa.array((g[s] & ~(_MANY | _LARGE)).view(np.int64)), pa.array(kind[s], pa.int32())], names=["q", "target", "kind"])
+    give_back()
+
+
+def _dealt(packed: DataFrame, buckets: int, sizes: dict[int, int]) -> DataFrame:
+    """packed's rows, one partition for each bucket. A bucket of several times the intended size (sizes: entries of such) is cut into blocks, any two of which meet in a partition of their own."""
+    if not sizes:
+        return packed.repartitionById(buckets, F.col("bucket"))
+    rows, first = [], buckets
+    for bucket, n in sorted(sizes.items()):
+        k = -(-n * 24 // BUCKET_BYTES)
+        rows.append((bucket, k, first))
+        first += k * k
+    large = F.broadcast(packed.sparkSession.createDataFrame(rows, "bucket int, blocks int, first int"))  # a row for each 64 MB of prefixes at most
+    d = packed.join(large, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("reps"), F.col("blocks")).cast("int"))
+    d = d.withColumn("mate", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    pair = F.col("first") + F.least("block", "mate") * F.col("blocks") + F.greatest("block", "mate")
+    return d.withColumn("task", F.coalesce(pair, "bucket")).repartitionById(first, F.col("task"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node reachable along edges (a, b), by large-star and small-star steps; only nodes with an edge.
+
+    Where a node has far more edges than a partition holds on average, smallest neighbours are written before they are
+    joined: a join of tables read from files can be dealt anew.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = lambda e: tuple(e.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first())
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    after = state(e)
+    while True:
+        before, written = after, [e]
 
+        def aside(df: DataFrame) -> DataFrame:
+            if before[0] and before[2] * parts > 2 * before[0]:
+                df = materialize(df, "star-least")
+                written.append(df)  # noqa: B023
+            return df
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """node, root: the smallest node reachable along edges (a, b), by large-star and small-star steps; only nodes with an edge."""
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    before = None
-    for _ in range(max_rounds):
         # Large star: neighbours larger than a node go to the node's smallest neighbour or itself.
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = aside(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star-large")
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        lower = aside(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "star")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        discard(*written, large)
+        after = state(e)
+        if after == before:
             break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).distinct()
+    out = materialize(nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "star-roots")
+    discard(e)
+    return out
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a number for each row, written: read again, a row has the same number whatever executors there are."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "join-rows")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row: row, doc_id, n_shingles, n_links, component_row, component_id.
 
     Words are runs of non-blank characters with A-Z lower-cased; a row's set holds its distinct 5-word shingles, with
@@ -392,70 +486,101 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     doc_id among rows reachable by links; component_row, the same for all these rows and no others, numbers components.
     Null and blank texts have empty sets and are linked with nothing. Null ids are passed over for component_id, which
     is null only where all are. Rows repeated under one id are linked by their texts like any others. An empty table
-    gives no rows; further columns are not looked at. row is the row's monotonically_increasing_id() in docs.
+    gives no rows; further columns are not looked at. row is row_col, a distinct number for each row of a table read
+    from files; without it rows are numbered and written first.
     """
     spark = docs.sparkSession
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(*([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(materialize(df, f"join-{name}"))
+        return used[-1]
+
+    if not row_col:
+        d = numbered(d)
+        used.append(d)
     common = spark.sparkContext.broadcast(common_tokens(d))
     sig = materialize(_signatures(d, common), "join-signatures")
-    classes = materialize(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")), "join-classes")
+    classes = keep(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")), "classes")
     is_rep = bounded(classes.select(F.col("rep").alias("row")))
     reps = sig.where("n > 0").join(is_rep, "row", "left_semi")
 
-    groups = materialize(_groups(reps), "join-groups")
-    sized = groups.join(classes.select("rep", "n"), "rep")
-    parts = sized.groupBy("centre").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("parts"))
-    placed = sized.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    heads = placed.groupBy("centre", "part").agg(F.min("rep").alias("chunk"))
-    placed = materialize(placed.join(heads, ["centre", "part"]).select("rep", "centre", "parts", "chunk"), "join-chunks")
+    found, more = _groups(reps)
+    used += more
+    groups = keep(found.join(classes.select("rep", "n"), "rep"), "groups")
+    sums = keep(groups.groupBy("centre").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("parts")), "sums")
+    placed = groups.join(sums, "centre").select("rep", "centre", "size", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    cut = sums.where("parts > 1").count()
+    # A chunk is called by one of its members: an uncut group's by the centre, others by their least.
+    if cut:
+        placed = keep(placed, "parts")
+        heads = placed.where("parts > 1").groupBy("centre", "part").agg(F.min("rep").alias("chunk"))
+        of_cut = placed.where("parts > 1").join(heads, ["centre", "part"]).select("rep", "centre", "size", "chunk")
+        placed = placed.where("parts = 1").select("rep", "centre", "size", F.col("centre").alias("chunk")).unionAll(of_cut.select("rep", "centre", "size", "chunk"))
+    else:
+        placed = placed.select("rep", "centre", "size", F.col("centre").alias("chunk"))
+    placed = keep(placed, "chunks")
     weights = classes.select("rep", "weight")
     sets = _texts_of(d, placed.select("rep", "chunk").join(weights, "rep"))
-    within = materialize(sets.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_within, "rep long, root long, links long"), "join-within")
-    # Of two chunks of a cut group one is asked with all members of the other.
-    cut = placed.where("parts > 1").select("centre", "rep", "chunk")
-    chunks = cut.select("centre", "chunk").distinct()
-    two = chunks.join(chunks.withColumnRenamed("chunk", "asker"), "centre").where("asker < chunk").select("chunk", "asker")
-    members = placed.select("rep", "chunk")
-    again = two.join(members, "chunk").select("chunk", "asker", F.lit(0).alias("side"), "rep").unionAll(two.join(members.withColumnRenamed("chunk", "asker"), "asker").select("chunk", "asker", F.lit(1).alias("side"), "rep"))
+    within = keep(sets.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_within, "rep long, root long, links long"), "within")
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (DEN - NUM) / DEN * 24 / BUCKET_BYTES))
-    tagged = reps.select("row", "n", "prefix").join(bounded(groups.withColumnRenamed("rep", "row")), "row", "left")
-    met = tagged.mapInArrow(_pack(buckets), "bucket int, entry binary, reps binary, groups binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, "q long, target long, many boolean")
-    met = materialize(met.distinct(), "join-candidates")
+    entries = reps.select("prefix").mapInArrow(_counted(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") * 24 > 4 * BUCKET_BYTES)
+    tagged = reps.select("row", "n", "prefix").join(bounded(placed.select(F.col("rep").alias("row"), "centre", "size")), "row", "left")
+    packed = tagged.mapInArrow(_pack(buckets, TAKEN_APART), "bucket int, entry binary, reps binary, groups binary")
+    met = _dealt(packed, buckets, {r.bucket: r.n for r in entries.collect()}).mapInArrow(_meet, "q long, target long, kind int").distinct()
+    met = keep(met, "candidates")
     # Small groups are taken apart into their members, large ones are asked as a whole. Either way no link is lost.
-    sizes = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("size"))
-    of_many = met.where("many").select("q", F.col("target").alias("centre")).join(sizes, "centre")
-    apart = of_many.where(F.col("size") <= TAKEN_APART).select("q", "centre").join(placed.select("centre", F.col("rep").alias("target")), "centre").select("q", "target")
+    apart = met.where("kind = 1").select("q", F.col("target").alias("centre")).join(placed.select("centre", F.col("rep").alias("target")), "centre").select("q", "target")
     # Parities tell most pairs apart that only share a passage.
-    pairs = materialize(met.where("not many").select("q", "target").unionAll(apart).where("q <> target"), "join-close")
-    ends = materialize(pairs.select(F.col("q").alias("row")).unionAll(pairs.select(F.col("target").alias("row"))).distinct(), "join-ends")
+    pairs = keep(met.where("kind = 0").select("q", "target").unionAll(apart).where("q <> target"), "close")
+    ends = keep(pairs.select(F.col("q").alias("row")).unionAll(pairs.select(F.col("target").alias("row"))).distinct(), "ends")
     parity = sig.select("row", "n", "parity").join(bounded(ends), "row", "left_semi")
     pairs = pairs.join(parity.withColumnRenamed("row", "q"), "q").join(parity.select(F.col("row").alias("target"), F.col("n").alias("m"), F.col("parity").alias("other")), "target")
-    alone = materialize(pairs.select("q", "target", "n", "parity", "m", "other").mapInArrow(_may_link, "q long, target long"), "join-pairs").select("q", F.col("target").alias("chunk"))
-    grouped = of_many.where(F.col("size") > TAKEN_APART).select("q", "centre").join(placed.select("centre", "chunk").distinct(), "centre").select("q", "chunk")
-    # Askers below 0 keep chunks of one member, chunks of groups and pairs of chunks apart.
-    asked = materialize(alone.withColumn("asker", F.lit(-2)).unionAll(grouped.withColumn("asker", F.lit(-1))), "join-asked")
-    opened = asked.where("asker = -1").select("chunk").distinct()
-    inside = placed.select("rep", "chunk").join(opened, "chunk").select("chunk", F.lit(-1).alias("asker"), "rep").unionAll(alone.select("chunk", F.lit(-2).alias("asker"), F.col("chunk").alias("rep")).distinct())
-    sides = inside.select("chunk", F.col("asker").cast("long"), F.lit(0).alias("side"), "rep").unionAll(asked.select("chunk", F.col("asker").cast("long"), F.lit(1).alias("side"), F.col("q").alias("rep"))).unionAll(again)
-    sides = materialize(sides, "join-sides")
-    texts = materialize(_texts_of(d, sides.select("rep").distinct().join(weights, "rep")), "join-sets")
+    # Askers below 0 keep chunks of one member (even), chunks of groups (odd) and pairs of chunks apart.
+    alone = keep(pairs.select("q", "target", "n", "parity", "m", "other").mapInArrow(_may_link, "q long, target long"), "pairs").select("q", F.col("target").alias("chunk"), F.lit(-2).cast("long").alias("asker"))
+    grouped = met.where("kind = 2").select("q", F.col("target").alias("centre"))
+    if cut:
+        chunks = keep(placed.select("centre", "chunk").distinct(), "names")
+        grouped = grouped.join(chunks, "centre")
+    else:
+        grouped = grouped.withColumn("chunk", F.col("centre"))
+    asked = alone.unionAll(grouped.select("q", "chunk", F.lit(-1).cast("long").alias("asker")))
+    # Chunks with very many queries have several askers, each with a share of the queries.
+    shares = keep(asked.groupBy("chunk", "asker").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shares")).where("shares > 1"), "shares")
+    asked = asked.join(bounded(shares), ["chunk", "asker"], "left")
+    asked = asked.select("q", "chunk", F.col("asker").alias("kind"), (F.col("asker") - 2 * F.pmod(F.xxhash64("q"), F.coalesce("shares", F.lit(1)))).alias("asker"))
+    opened = asked.select("chunk", "kind", "asker").distinct()
+    inside = placed.select("rep", "chunk").join(opened.where("kind = -1"), "chunk").select("chunk", "asker", "rep").unionAll(opened.where("kind = -2").select("chunk", "asker", F.col("chunk").alias("rep")))
+    sides = inside.select("chunk", "asker", F.lit(0).alias("side"), "rep").unionAll(asked.select("chunk", "asker", F.lit(1).alias("side"), F.col("q").alias("rep")))
+    if cut:
+        # Of two chunks of a cut group one is asked with all members of the other.
+        two = chunks.join(bounded(keep(sums.where("parts > 1").select("centre"), "cut")), "centre", "left_semi")
+        two = two.join(two.withColumnRenamed("chunk", "asker"), "centre").where("asker < chunk").select("chunk", "asker")
+        members = placed.select("rep", "chunk")
+        sides = sides.unionAll(two.join(members, "chunk").select("chunk", "asker", F.lit(0).alias("side"), "rep"))
+        sides = sides.unionAll(two.join(members.withColumnRenamed("chunk", "asker"), "asker").select("chunk", "asker", F.lit(1).alias("side"), "rep"))
+    sides = keep(sides, "sides")
+    texts = _texts_of(d, sides.select("rep").distinct().join(weights, "rep"))
     across = texts.join(sides, "rep").select("chunk", "asker", "side", "rep", "weight", "tokens").repartition("chunk", "asker").sortWithinPartitions("chunk", "asker", "side")
-    found = within.unionAll(materialize(across.mapInArrow(_asked, "rep long, root long, links long"), "join-across"))
-    links = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    found = within.unionAll(keep(across.mapInArrow(_asked, "rep long, root long, links long"), "across"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
 
-    named = components(links)
-    least = named.join(classes.select(F.col("rep").alias("node"), "least"), "node")
-    of = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("rep"), "root", "component_id")
+    named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    used.append(named)
+    least = keep(named.join(classes.select(F.col("rep").alias("node"), "least"), "node"), "named")
+    lowest = keep(least.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    of = least.join(lowest, "root").select(F.col("node").alias("rep"), "root", "component_id")
     of = classes.select("h1", "h2", "rep", "least", "weight").join(of, "rep", "left").join(counts, "rep", "left")
     of = of.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_row"), F.coalesce("component_id", "least").alias("component_id"))
     of = materialize(of, "join-components")
+    discard(*used)
     rows = sig.select("row", "doc_id", "h1", "h2", "n")
     some = rows.where("n > 0").join(of, ["h1", "h2"]).select("row", "doc_id", F.col("n").alias("n_shingles"), "n_links", "component_row", "component_id")
     return some.unionAll(rows.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("row").alias("component_row"), F.col("doc_id").alias("component_id")))
 
 
 def digest(joined: DataFrame) -> DataFrame:
-    return joined.select("doc_id", "n_shingles", "component_id")
+    return joined.select("doc_id", "n_shingles", "n_links", "component_id")

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
 from . import bpe, decontamination, jaccard_join, license_scan, quality, secret_scan, sharding, topk_search, toxicity, url_filter
-from .common import table
+from .common import prepared, table
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -22,49 +21,48 @@ def tokenizer_files() -> tuple[str, str]:
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(ship(spark), sf_dir, "embeddings")
+    v = table(prepared(spark), sf_dir, "embeddings")
     return topk_search.top_k(v, v.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = ship(spark).createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = prepared(spark).createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score(docs, quality.train(docs, labels), threshold=0.5)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.digest(license_scan.scan(table(ship(spark), sf_dir, "documents")))
+    return license_scan.digest(license_scan.scan(table(prepared(spark), sf_dir, "documents")))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(ship(spark), sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(table(prepared(spark), sf_dir, "documents")))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(ship(spark), sf_dir, "documents"), shards=8)
+    return sharding.shard(table(prepared(spark), sf_dir, "documents"), shards=8)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels), threshold=0.7)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest(decontamination.scan(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+    return decontamination.digest(decontamination.scan(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.digest(jaccard_join.join(table(ship(spark), sf_dir, "documents")))
+    return jaccard_join.digest(jaccard_join.join(table(prepared(spark), sf_dir, "documents")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_files()
-    encoded = bpe.encode(table(ship(spark), sf_dir, "documents"), path, pattern)
-    return bpe.digest(bpe.decode(encoded, path, pattern))
+    return bpe.digest(bpe.round_trip(table(prepared(spark), sf_dir, "documents"), path, pattern))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -110,7 +108,8 @@ def oracle_sql() -> dict[str, str]:
                  n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
                  pair AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
                  link AS (SELECT a, b FROM pair JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-                 reach(r, other) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN link ON a = other)
-            SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
-            FROM d JOIN reach ON d.r = reach.r JOIN d o ON o.r = reach.other LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id""",
+                 reach(r, other) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN link ON a = other),
+                 l AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+            SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(any_value(l.n), 0) AS n_links, min(o.doc_id) AS component_id
+            FROM d JOIN reach ON d.r = reach.r JOIN d o ON o.r = reach.other LEFT JOIN n ON n.r = d.r LEFT JOIN l ON l.a = d.r GROUP BY d.r, d.doc_id""",
     }

@@ -63,6 +63,20 @@ def test_topk_few_candidates_and_none(spark):
     assert _top(spark, [(0, [3e30, 1.0], 0), (1, [3e30, 1.0], 0)])[0][:3] == (0, 1, 1)
 
 
+def test_topk_at_the_ends_of_a_long(spark):
+    """Scores of every sign and size, up to what a long holds; beyond it they are held at its ends."""
+    low = [(0, [2.0**16, 2.0**15], 0), (1, [-(2.0**14), -(2.0**14)], 0), (3, [-(2.0**14), -(2.0**14)], 0)]
+    assert _top(spark, low) == _top_brute(low)
+    big = [(0, [2.0**23, 2.0**23], 0), (1, [-(2.0**23), -(2.0**22)], 0), (3, [-(2.0**23), -(2.0**22)], 0)]
+    assert _top(spark, big) == _top_brute(big) and -(2**63) < _top_brute(big)[0][3] < -(2**62)
+    rng = random.Random(11)
+    for size in (20, 22):
+        rows = [(i, [rng.choice([-1, 1]) * 2.0 ** rng.randint(size - 6, size) for _ in range(2)], 0) for i in range(40)]
+        assert max(abs(x[3]) for x in _top_brute(rows, 39)) < 2**63 and _top(spark, rows) == _top_brute(rows)
+    over = [(0, [2.0**30], 0), (1, [2.0**30], 0), (3, [-(2.0**30)], 0), (5, [1.0], 0)]
+    assert _top(spark, over) == [(0, 1, 1, 2**63 - 1), (0, 2, 5, 2**46), (0, 3, 3, -(2**63))]
+
+
 def test_topk_in_several_blocks(spark, monkeypatch):
     rows = [(i, [math.sin(i), math.cos(i)], 0) for i in range(60)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
@@ -334,11 +348,46 @@ def test_decontamination(spark, monkeypatch, chunk):
     assert got == sorted((str(i), *decontamination.brute_force(t, [(a, b) for a, b in items if b])) for i, t in rows)
     spans = {r.doc_id: r.spans for r in scanned.collect()}
     assert [(s["start"], s["end"]) for s in spans[20]] == [(0, len(item))]
+    left = decontamination.clean(docs(spark, rows).withColumn("extra col", F.lit(1)), bench)
+    assert left.columns == ["doc_id", "text", "extra col"]
+    assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(i for i, *_, bad in got if not bad)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontamination.scan(docs(spark, rows), empty).collect())
     assert decontamination.scan(none(spark), bench).count() == 0
 
 
+def test_decontamination_against_brute_force():
+    """Items that repeat themselves and each other, and passages that begin and end anywhere in them."""
+    rng = random.Random(12)
+    for window in (1, 2, 3, 5, 10):
+        for _ in range(60):
+            word = lambda: rng.choice("abc")  # noqa: E731, B023
+            items = [(i, " ".join(word() for _ in range(rng.randint(0, 3 * window)))) for i in range(5)]
+            a = decontamination.Automaton(items, window)
+            for _ in range(6):
+                i = rng.choice(items)[1].split()
+                s = rng.randrange(len(i) + 1)
+                text = " ".join([word() for _ in range(rng.randint(0, 8))] + i[s : s + rng.randint(0, 2 * window)] + [rng.choice("abcx") for _ in range(rng.randint(0, 8))])
+                spans, ids = a.hits(decontamination.words_of(text))
+                n, hit, found, _, bad = decontamination.brute_force(text, items, window)
+                assert (sum(e - b for b, e in spans), len(ids), bool(spans)) == (hit, found, bad), (window, items, text)
+
+
+def test_decontamination_memory_follows_the_benchmark():
+    """A benchmark of several MiB takes some 20 bytes for each byte of it, and is built in seconds."""
+    import psutil
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(30_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(2500)]
+    size, of = sum(len(t) for _, t in items), psutil.Process()
+    before, began = of.memory_info().rss, time.process_time()
+    a = decontamination.Automaton(items, 10)
+    assert size > 3 << 20 and of.memory_info().rss - before < 40 * size and time.process_time() - began < 20
+    spans, ids = a.hits(f"x {items[7][1]} y".split())
+    assert spans == [[1, 201]] and ids == {"7"}
+
+
 # 9 Jaccard join -----------------------------------------------------------------------------------------------------
 
 
@@ -392,10 +441,13 @@ def test_jaccard_components(spark, monkeypatch, tokens):
     assert got == _components(rows)
 
 
-@pytest.mark.parametrize("tokens, apart", [(1 << 18, 32), (300, 2), (300, 32), (100, 0)])
-def test_jaccard_links_of_each_row(spark, monkeypatch, tokens, apart):
+@pytest.mark.parametrize("tokens, apart, bucket, queries_", [(1 << 18, 32, 16 << 20, 8192), (300, 2, 24 * 50, 8192), (300, 32, 16 << 20, 3), (100, 0, 24 * 200, 3)])
+def test_jaccard_links_of_each_row(spark, monkeypatch, tokens, apart, bucket, queries_):
+    """Also with groups cut into chunks, buckets cut into blocks, and queries to one chunk dealt over several askers."""
     monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", tokens)
     monkeypatch.setattr(jaccard_join, "TAKEN_APART", apart)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(jaccard_join, "QUERIES", queries_)
     rng = random.Random(tokens)
     base = [f"b{i}" for i in range(60)]
     cluster = [(30_000 + i, " ".join(base[: 60 - rng.randrange(6)] + [f"t{rng.randrange(9)}"] * rng.randrange(2))) for i in range(70)]
@@ -406,6 +458,28 @@ def test_jaccard_links_of_each_row(spark, monkeypatch, tokens, apart):
     assert sorted((str(r.doc_id), r.n_links) for r in jaccard_join.join(docs(spark, rows)).collect()) == wanted
 
 
+def test_jaccard_rows_keep_their_numbers(spark, tmp_path):
+    """Numbers of rows do not follow from how the table is split when it is read."""
+    rows = _near(random.Random(9))
+    docs(spark, rows).repartition(6).write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        d = jaccard_join.numbered(spark.read.parquet(f"{tmp_path}/docs"), "number")
+        joined = jaccard_join.join(d, row_col="number")
+        many = {r.number: (r.doc_id, r.text) for r in d.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert {r.number: (r.doc_id, r.text) for r in d.collect()} == many
+        got = joined.collect()
+        assert {r.row: r.doc_id for r in got} == {n: i for n, (i, _) in many.items()}
+        again = jaccard_join.join(d, row_col="number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _components(rows)
+
+
 def test_jaccard_at_the_border_and_empty(spark):
     a = [f"w{i}" for i in range(13)]  # 9 shingles; one word more is 10, of which 9 are shared
     rows = [(3, " ".join(a)), (2, " ".join([*a, "x"])), (1, " ".join([*a, "x", "y", "z"])), (9, "A b"), (8, "a  B"), (7, "")]
@@ -458,16 +532,19 @@ def test_bpe_against_the_library(spark):
     rng = random.Random(2)
     texts += ["".join(rng.choice("abcdeté ,.\n'19 ") for _ in range(rng.randint(1, 200))) for _ in range(150)]
     rows = [(100 + i, t) for i, t in enumerate(texts)] + ODD
-    encoded = bpe.encode(docs(spark, rows).withColumn("ids", F.lit(1)), path, pattern)
-    decoded = bpe.decode(encoded, path, pattern)
-    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digest(decoded).collect())
+    frame = docs(spark, rows).withColumn("ids", F.lit(1))
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digest(bpe.round_trip(frame, path, pattern)).collect())
+    decoded = bpe.decode(bpe.encode(frame, path, pattern), path, pattern).collect()
+    hashed = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == sorted((str(r.doc_id), r.n_tokens, hashed(struct.pack(f"<{len(r.ids)}I", *r.ids)), hashed(r.decoded.encode())) for r in decoded)
     want = []
     for i, t in rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
         text = lib.decode(ids, skip_special_tokens=False)
         want.append((str(i), len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert got == sorted(want)
-    assert bpe.digest(bpe.decode(bpe.encode(none(spark), path, pattern), path, pattern)).count() == 0
+    assert bpe.decode(bpe.encode(none(spark), path, pattern), path, pattern).count() == 0
+    assert bpe.digest(bpe.round_trip(none(spark), path, pattern)).count() == 0
 
 
 # registered queries -------------------------------------------------------------------------------------------------
@@ -489,5 +566,7 @@ def test_queries_against_sql(spark, name):
 
 
 def test_bounded_broadcast(spark):
-    assert "broadcast" in bounded(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in bounded(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
+    plan = lambda df: df._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in plan(bounded(spark.range(5), 5 * 32)) and "broadcast" not in plan(bounded(spark.range(6), 5 * 32))
+    with pytest.raises(AssertionError):
+        bounded(docs(spark, []))
