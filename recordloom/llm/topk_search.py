@@ -29,11 +29,24 @@ _LIMIT = 1 << 53
 class _Block(NamedTuple):
     ids: np.ndarray  # of queries
     vectors: dict[int, tuple[np.ndarray, np.ndarray]]  # by dimension: positions in ids, integer components
-    lo: np.ndarray  # the range of scores, its upper end left out, and the width of its bins
+    lo: np.ndarray  # the range of scores, both ends in it, and the width of its bins; all as ordered()
     hi: np.ndarray
     width: np.ndarray
 
 
+def ordered(s: np.ndarray) -> np.ndarray:
+    """Longs as unsigned numbers in the same order: the distance of any two of these fits 64 bits."""
+    return s.view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _long(u: np.ndarray) -> np.ndarray:
+    return (u ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _widths(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (hi - lo) // np.uint64(BINS) + np.uint64(1)
+
+
 def integer_vectors(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Rows that take part, and by dimension their positions and floor(scale * x); others are null or hold null, NaN or infinity."""
     if isinstance(column, pa.ChunkedArray):
@@ -60,7 +73,7 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     if most < _LIMIT:
         return (q @ v.T).astype(np.int64)
     exact = np.array([[int(x) for x in r] for r in q], object).reshape(q.shape) @ np.array([[int(x) for x in r] for r in v], object).reshape(v.shape).T
-    return np.clip(exact.astype(object), -(2**63) + 2, 2**63 - 2).astype(np.int64) if exact.size else np.zeros((len(q), len(v)), np.int64)
+    return np.clip(exact.astype(object), -(2**63), 2**63 - 1).astype(np.int64) if exact.size else np.zeros((len(q), len(v)), np.int64)
 
 
 def _tiles(block: _Block, ids: pa.Array, column: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,7 +106,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(usable)
-    whole = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    # A floor is at most 1 farther from 0 than the number; a long, as SQL's floor gives, may not hold it.
+    whole = F.transform("v", lambda x: F.abs(x.cast("double") * scale) + 1)
     # The largest norm by dimension bounds every score: |q . v| <= |q| |v|.
     norms = {r.d: r.m for r in v.where(usable).select(F.size("v").alias("d"), F.aggregate(whole, F.lit(0.0), lambda a, x: a + x * x).alias("s")).groupBy("d").agg(F.max("s").alias("m")).collect()}
     spark = vectors.sparkSession
@@ -120,10 +134,13 @@ def _block(spark, v: DataFrame, rows: pa.Table, norms: dict[int, float], k: int,
     _, by_size = integer_vectors(rows.column("v"), scale)
     reach = np.zeros(len(ids))
     for d, (at, q) in by_size.items():
-        reach[at] = np.minimum(np.ceil(np.sqrt((q * q).sum(axis=1) * norms.get(d, 0.0)) * (1 + 1e-9)) + 1, 2.0**62)
-    lo, hi = -reach.astype(np.int64), reach.astype(np.int64) + 1
+        reach[at] = np.ceil(np.sqrt((q * q).sum(axis=1)) * np.sqrt(norms.get(d, 0.0)) * (1 + 1e-9)) + 1
+    # Where scores may leave the longs, all longs are the range; those farther out are held at its ends.
+    far = reach >= 2.0**62
+    most = np.where(far, 0, reach).astype(np.int64)
+    lo, hi = np.where(far, np.uint64(0), ordered(-most)), np.where(far, np.uint64((1 << 64) - 1), ordered(most))
     wanted = np.full(len(ids), k, np.int64)
-    width = np.maximum(1, -(-(hi - lo) // BINS))
+    width = _widths(lo, hi)
     live = np.ones(len(ids), bool)
     threshold = lo.copy()
     while live.any():
@@ -142,13 +159,13 @@ def _block(spark, v: DataFrame, rows: pa.Table, norms: dict[int, float], k: int,
         found[q] = True
         live[kept[~found]] = False  # fewer than k candidates: all of them stay
         at = kept[q]
-        lo[at] += b.astype(np.int64) * width[at]
-        hi[at] = np.minimum(hi[at], lo[at] + width[at])
+        lo[at] += b.astype(np.uint64) * width[at]
+        hi[at] = lo[at] + np.minimum(hi[at] - lo[at], width[at] - np.uint64(1))
         wanted[at] = left
         threshold[at] = lo[at]
         live[at[width[at] == 1]] = False
-        width[at] = np.maximum(1, -(-(hi[at] - lo[at]) // BINS))
-    final = _Block(ids, by_size, threshold, hi, np.ones(len(ids), np.int64))
+        width[at] = _widths(lo[at], hi[at])
+    final = _Block(ids, by_size, threshold, hi, width)
     near = v.mapInArrow(_at_least(spark.sparkContext.broadcast(final), k, scale), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return materialize(near.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
@@ -164,8 +181,9 @@ def _histogram(shared, scale: int):
         for batch in batches:
             for p, _, s, ours in _tiles(block, batch.column(0), batch.column(1), scale):
                 # What lies above the range was counted before; what lies below can't be the k-th.
-                good = ours & (s >= block.lo[p][:, None]) & (s < block.hi[p][:, None])
-                bins = (s - block.lo[p][:, None]) // block.width[p][:, None]
+                u, lo = ordered(s), block.lo[p][:, None]
+                good = ours & (u >= lo) & (u <= block.hi[p][:, None])
+                bins = ((u - lo) // block.width[p][:, None]).astype(np.int64)
                 flat = (np.arange(len(p))[:, None] * BINS + bins)[good]
                 counts[p] += np.bincount(flat, minlength=len(p) * BINS).reshape(len(p), BINS)
         from_top = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
@@ -183,7 +201,7 @@ def _at_least(shared, k: int, scale: int):
         block = shared.value
         for batch in batches:
             for p, ids, s, ours in _tiles(block, batch.column(0), batch.column(1), scale):
-                q, c = np.nonzero(ours & (s >= block.lo[p][:, None]))
+                q, c = np.nonzero(ours & (s >= _long(block.lo[p])[:, None]))
                 order = np.lexsort((ids[c], -s[q, c], q))
                 q, c = q[order], c[order]
                 keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
