@@ -1,28 +1,32 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+"""Benchmark decontamination with an Aho-Corasick automaton over words.
 
-The windows of the test items, normalised to words between single spaces, become the patterns of one automaton. A
-document, normalised the same way, is scanned once; matches give back word places and, by these, offsets in the
-original text. Benchmarks beyond a fixed size are cut into chunks, each an automaton and a further pass over the rows
-in the same stage: nothing is shuffled.
+The test items, normalised to words, are cut into blocks of half a window; these are the patterns of one automaton,
+whose letters are numbers of words. Every window of an item holds a whole block, so a document, normalised the same way
+and scanned once, shows in its matches all places where a window may stand. From a match the document and the item are
+followed word by word both ways; where they agree for a window or more, these words are hit, and their places give
+offsets in the original text. The automaton has a node for each word of the benchmark at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import uuid
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_steps
+from .common import discard, give_back, held, map_steps, materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
-#: Words of a window, and bytes of benchmark text in one automaton.
-WINDOW, CHUNK_BYTES = 10, 16 << 20
+#: Words of a window, and about as many bytes of benchmark text in one automaton (some 20 bytes of memory for each).
+WINDOW, CHUNK_BYTES = 10, 8 << 20
+#: Words of an item and a document that are compared at once.
+_STEP = 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,37 +38,128 @@ def lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-def windows_of(items: list[tuple[object, str | None]], size: int = WINDOW) -> dict[str, tuple[int, set[str]]]:
-    """Each window's words with single spaces around: how many words, and the ids of its items as text."""
-    out: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            part = w[i : i + size]
-            out.setdefault(f" {' '.join(part)} ", (len(part), set()))[1].add(str(item))
-    return out
-
+class Automaton:
+    """Blocks of the items' words, and where each block stands."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int):
+        self.window, self.block = window, (window + 1) // 2
+        self.number: dict[str, int] = {}  # of words, from 1; words that no item has are 0
+        self.ids = [str(i) for i, _ in items]
+        words, starts, places = [], [0], {}
+        for k, (_, text) in enumerate(items):
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
+            words += w
+            # An item shorter than a window is one window and one block.
+            step = self.block if len(w) >= window else max(1, len(w))
+            for at in range(0, len(w) - step + 1, step):
+                places.setdefault(tuple(w[at : at + step]), []).append((k, starts[-1] + at))
+            starts.append(len(words))
+        self.words, self.starts = np.array(words, np.int32), starts
+        self.places, self.sizes = list(places.values()), [len(x) for x in places]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, pattern in enumerate(places):
+            self.automaton.add_word(pattern, i)
+        if places:
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[str]) -> tuple[list[list[int]], set[str]]:
+        """Merged spans of hit words, as places, and the ids of items that have windows there."""
+        if not self.places or not words:
+            return [], set()
+        get = self.number.get
+        doc = tuple([get(w, 0) for w in words])
+        spans, ids, seen, line = [], set(), {}, None
+        for last, i in self.automaton.iter(doc):
+            n = self.sizes[i]
+            first = last + 1 - n
+            if line is None:
+                line = np.array(doc, np.int32)
+            for k, at in self.places[i]:
+                if seen.get((k, first - at), -1) >= last:  # inside a run that is known already
+                    continue
+                a = first - self._same(line[:first][::-1], self.words[self.starts[k] : at][::-1])
+                b = last + 1 + self._same(line[last + 1 :], self.words[at + n : self.starts[k + 1]])
+                seen[k, first - at] = b - 1
+                if b - a >= min(self.window, self.starts[k + 1] - self.starts[k]):
+                    spans.append((a, b))
+                    ids.add(self.ids[k])
+        merged: list[list[int]] = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        return merged, ids
 
-def automaton_of(windows: dict[str, tuple[int, set[str]]]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for pattern, (n, ids) in windows.items():
-        a.add_word(pattern, (len(pattern), n, tuple(ids)))
-    if windows:
-        a.make_automaton()
-    return a
+    @staticmethod
+    def _same(a: np.ndarray, b: np.ndarray) -> int:
+        """How many words agree from the start."""
+        n, most = 0, min(len(a), len(b))
+        while n < most:
+            differ = np.flatnonzero(a[n : min(n + _STEP, most)] != b[n : min(n + _STEP, most)])
+            if len(differ):
+                return n + int(differ[0])
+            n += _STEP
+        return most
 
 
 def chunks_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[object, str | None]]]:
-    """The items, in chunks of at most CHUNK_BYTES (or one item). Test sets are small against what they guard; they go to every worker."""
-    out, size = [[]], 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
-        n = len(r.t.encode())
-        if size and size + n > CHUNK_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, r.t))
-        size += n
-    return [x for x in out if x]
+    """The items, dealt by hash into as many chunks as their bytes need; each is brought to the driver and to the workers by itself."""
+    b = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    n = max(1, -(-int(b.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // CHUNK_BYTES))
+    return [[(r.i, r.t) for r in b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+
+
+def _kernel(docs: DataFrame, items, window: int):
+    """A function from a batch to the words and hits of its texts. The automaton is built once in a worker and kept while it serves this."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    key = ("decontamination", uuid.uuid4().hex)
+
+    def found(texts: list[str | None]):
+        automaton = held(key, lambda: Automaton(shared.value, window))
+        for t in texts:
+            words = words_of(t)
+            yield t, words, *automaton.hits(words)
+
+    return key, found
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_SPAN = "spans array<struct<a:long,b:long,start:long,end:long>>"
+
+
+def _pass(d: DataFrame, items, window: int) -> DataFrame:
+    """row, doc_id, n_words, items, spans of every document, for one chunk of the benchmark."""
+    key, found = _kernel(d, items, window)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, ids, spans = [], [], []
+        for text, words, merged, of in found(batch.column("text").to_pylist()):
+            places = [m.span() for m in WORD.finditer(lower(text))] if merged else []
+            counts.append(len(words))
+            ids.append(sorted(of))
+            spans.append([{"a": a, "b": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in merged])
+        columns = [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, _SPANS)]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_words", "items", "spans"])
+
+    return map_steps(d, kernel, f"row long, doc_id long, n_words long, items array<string>, {_SPAN}", key=key)
+
+
+def _merged(batches):
+    """Rows with several passes' hits, merged."""
+    for b in batches:
+        out = []
+        for lists in b.column("lists").to_pylist():
+            spans: list[dict] = []
+            for x in sorted((x for some in lists for x in some), key=lambda x: (x["a"], x["b"])):
+                if spans and x["a"] <= spans[-1]["b"]:
+                    if x["b"] > spans[-1]["b"]:
+                        spans[-1] |= {"b": x["b"], "end": x["end"]}
+                else:
+                    spans.append(dict(x))
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_words", "items")), pa.array(out, _SPANS)], names=["doc_id", "n_words", "items", "spans"])
+    give_back()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -73,73 +168,38 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     A window is so many consecutive words of an item; an item of fewer words, but not none, is one window. A word of a
     document inside any occurrence of a window is hit. Null texts have no words; items without words match nothing;
     items repeated under one id count once; a null item id is listed as None. Null or repeated document ids are kept
-    as rows of their own. An empty benchmark leaves every document clean. Further columns are not looked at.
+    as rows of their own. An empty benchmark leaves every document clean. Further columns are not looked at. A benchmark
+    of more than CHUNK_BYTES is scanned for in several passes, each with an automaton, whose hits are then merged.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = chunks_of(benchmark, item_col, text_col) or [[]]
+    chunks = chunks_of(benchmark, item_col, text_col)
     if len(chunks) == 1:
-        return map_steps(d, _Scan(docs.sparkSession.sparkContext.broadcast(chunks[0]), window, True), _RESULT)
-    # Several automata: hits are carried along as word places from pass to pass, and settled by the last.
-    d = d.withColumn("found", F.lit(None).cast("array<struct<a:int,b:int>>")).withColumn("items", F.lit(None).cast("array<string>"))
-    for i, c in enumerate(chunks):
-        last = i == len(chunks) - 1
-        d = map_steps(d, _Scan(docs.sparkSession.sparkContext.broadcast(c), window, last), _RESULT if last else "doc_id long, text string, found array<struct<a:int,b:int>>, items array<string>")
-    return d
-
-
-_RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
-
-
-class _Scan:
-    def __init__(self, items, window: int, last: bool):
-        self.items, self.window, self.last, self.automaton = items, window, last, None
-
-    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        if self.automaton is None:  # once in each task
-            self.automaton = automaton_of(windows_of(self.items.value, self.window))
-        a = self.automaton
-        names = batch.schema.names
-        before = zip(batch.column("found").to_pylist(), batch.column("items").to_pylist(), strict=True) if "found" in names else ((None, None) for _ in range(batch.num_rows))
-        rows = defaultdict(list)
-        for text, (found, items) in zip(batch.column("text").to_pylist(), before, strict=True):
-            words = words_of(text)
-            hits = [(h["a"], h["b"]) for h in found or ()]
-            ids = set(items or ())
-            if words and len(a):
-                line = f" {' '.join(words)} "
-                ends = None
-                for end, (_, n, of) in a.iter(line):
-                    if ends is None:  # the place of the space after each word
-                        ends, at = {}, 0
-                        for i, w in enumerate(words):
-                            at += len(w) + 1
-                            ends[at] = i + 1
-                    hits.append((ends[end] - n, ends[end]))
-                    ids.update(of)
-            merged: list[list[int]] = []
-            for s, e in sorted(hits):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([s, e])
-            if self.last:
-                spans = []
-                if merged:
-                    places = [m.span() for m in WORD.finditer(lower(text))]
-                    spans = [{"start": places[s][0], "end": places[e - 1][1]} for s, e in merged]
-                rows["n_words"].append(len(words))
-                rows["n_hit"].append(sum(e - s for s, e in merged))
-                rows["items"].append(sorted(ids))
-                rows["spans"].append(spans)
-                rows["contaminated"].append(bool(merged))
-            else:
-                rows["found"].append([{"a": s, "b": e} for s, e in merged])
-                rows["items"].append(sorted(ids))
-        if self.last:
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "contaminated": pa.bool_()}
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[k], t) for k, t in kinds.items())], names=["doc_id", *kinds])
-        kinds = {"found": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), "items": pa.list_(pa.string())}
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(rows[k], t) for k, t in kinds.items())], names=["doc_id", "text", *kinds])
+        out = _pass(d.withColumn("row", F.lit(0).cast("long")), chunks[0], window)
+    else:
+        d = materialize(d.withColumn("row", F.monotonically_increasing_id()), "scan-rows")
+        passes = [materialize(_pass(d, c, window), "scan-pass") for c in chunks]
+        every = passes[0]
+        for p in passes[1:]:
+            every = every.unionAll(p.where(F.size("spans") > 0))
+        every = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("lists"))
+        out = materialize(every.mapInArrow(_merged, f"doc_id long, n_words long, items array<string>, {_SPAN}"), "scan-merged")
+        discard(d, *passes)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", spans.alias("spans"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, that hold no window of the benchmark. Rows as in scan(); nothing is shuffled."""
+    for c in chunks_of(benchmark, item_col, bench_col):
+        key, found = _kernel(docs, c, window)
+
+        def kernel(batch: pa.RecordBatch, found=found) -> pa.RecordBatch:
+            at = batch.schema.get_field_index(text_col)
+            return batch.filter(pa.array([not merged for _, _, merged, _ in found(batch.column(at).to_pylist())], pa.bool_()))
+
+        docs = map_steps(docs, kernel, docs.schema, text=text_col, key=key)
+    return docs
 
 
 def digest(scanned: DataFrame) -> DataFrame:
