@@ -196,9 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
     return fit(training_texts(docs, labels, label, 1, TOXIC_TEXTS), training_texts(docs, labels, label, 0, ORDINARY_TEXTS))
 
 
+def _key(model: Model) -> tuple:
+    return "toxicity", model.toxic, model.ordinary, model.weights.tobytes()
+
+
 def judge_of(model: Model) -> Judge:
     """One judge for a stage in each Python process, so that windows are remembered from task to task."""
-    return held(("toxicity", model.toxic, model.ordinary, model.weights.tobytes()), lambda: Judge(model))
+    return held(_key(model), lambda: Judge(model))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,4 +222,18 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
 
     out = F.coalesce(~is_training_row(F.col(id_col)), F.lit(False))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    return map_steps(d, kernel, "doc_id long, held_out boolean, score double, predicted int")
+    return map_steps(d, kernel, "doc_id long, held_out boolean, score double, predicted int", key=_key(model) if model is not None else None)
+
+
+def clean(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, that score below the threshold; without a model, all. Rows as in score()."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        judge = judge_of(shared.value)
+        at = batch.schema.get_field_index(text_col)
+        return batch.filter(pa.array([judge.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_steps(docs, kernel, docs.schema, text=text_col, key=_key(model))
