@@ -8,7 +8,6 @@ undoing their merges, the latest first, never shows a pair across their border t
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 import ahocorasick
@@ -157,7 +156,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(np.concatenate(ids).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(sizes)], names=["doc_id", "ids", "n_tokens"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_steps(d, kernel, "doc_id long, ids array<int>, n_tokens long")
+    return map_steps(d, kernel, "doc_id long, ids array<int>, n_tokens long", key=("bpe", path, pattern))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -173,13 +172,23 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """decode()'s rows with hashes of the ids, as little-endian unsigned 32-bit integers, and of the text."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one pass, by one Python worker for each task: doc_id, n_tokens, ids, decoded.
+
+    ids are little-endian unsigned 32-bit integers, one after another. Null and empty texts have no ids and decode to
+    the empty text; null or repeated ids of documents, empty tables and further columns are as in encode().
+    """
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = tokenizer(path, pattern)
+        ids = [t.encode(x or "") for x in batch.column("text").to_pylist()]
+        packed, texts = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([t.decode(x) for x in ids], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), packed, texts], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_steps(d, kernel, "doc_id long, n_tokens long, ids binary, decoded string", key=("bpe", path, pattern))
 
-    def run(batches):
-        for b in batches:
-            hashes = [hashlib.sha256(np.asarray(x.values, "<u4").tobytes() if x.is_valid else b"").hexdigest() for x in b.column("ids")]
-            texts = [hashlib.sha256((x or "").encode()).hexdigest() for x in b.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(hashes), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digest(done: DataFrame) -> DataFrame:
+    """round_trip()'s rows with hashes of the ids and of the text, taken by the JVM."""
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
