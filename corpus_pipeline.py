@@ -7,61 +7,38 @@ and decodes what is left. Extra columns stay as they are, whatever their names;
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, decontamination, jaccard_join, queries, secret_scan, toxicity
-from recordloom.llm.common import bounded, free_name, map_steps, materialize, scratch_root, table
-from recordloom.session import ship
-
-
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, under a name that is free."""
-    name = free_name("row_number", docs.columns)
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows numbered in dropped (row)."""
-    rows, name = _numbered(docs)
-    gone = materialize(dropped.select(F.col("row").alias(name)), "dropped")
-    return rows.join(bounded(gone), name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def _by_row(docs: DataFrame) -> DataFrame:
-    """Texts under their row numbers, for operators that carry an id along."""
-    return docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("text"))
+from recordloom.llm.common import bounded, free_name, map_steps, materialize, prepared, scratch_path, table
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score reaches 0.7. Without labelled rows nothing is dropped."""
-    ship(spark)
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    judged = toxicity.score(_by_row(docs), model, threshold=0.7)
-    return _without(docs, judged.where("predicted = 1").select(F.col("doc_id").alias("row")))
+    return toxicity.clean(docs, toxicity.train(docs, table(prepared(spark), sf_dir, "labels")), threshold=0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the least id, of each component of documents linked by Jaccard similarity."""
-    ship(spark)
-    joined = jaccard_join.join(docs)
-    kept = joined.groupBy("component_row").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
-    return _without(docs, joined.select("row").join(kept, "row", "left_anti"))
+    """Keeps one document, that with the least id (null only where all are), of each component of documents linked by Jaccard similarity."""
+    prepared(spark)
+    name = free_name("row_number", docs.columns)
+    rows = jaccard_join.numbered(docs, name)  # written, so that a number means the same row in all that follows
+    joined = jaccard_join.join(rows, row_col=name)
+    kept = joined.groupBy("component_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    gone = materialize(joined.join(kept, "row", "left_anti").select(F.col("row").alias(name)), "dropped")
+    return rows.join(bounded(gone), name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    ship(spark)
-    scanned = decontamination.scan(_by_row(docs), table(spark, sf_dir, "benchmark"))
-    return _without(docs, scanned.where("contaminated").select(F.col("doc_id").alias("row")))
+    return decontamination.clean(docs, table(prepared(spark), sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in a text by [SECRET]; n_chars, where there is such a column, follows the text."""
-    ship(spark)
+    prepared(spark)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
@@ -74,9 +51,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    ship(spark)
-    path, pattern = queries.tokenizer_files()
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+    prepared(spark)
+    return bpe.digest(bpe.round_trip(docs, *queries.tokenizer_files()))
 
 
 STAGES = [
@@ -93,9 +69,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written and read again."""
-    docs = table(ship(spark), sf_dir, "documents")
-    root = f"{scratch_root(spark)}/recordloom/pipeline-{uuid.uuid4().hex}"
+    docs = table(prepared(spark), sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
