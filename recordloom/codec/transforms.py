@@ -146,55 +146,108 @@ def _stored(data: bytes) -> bytes:
 LZ_FAR, LZ_LONG, LZ_SAMPLE, LZ_DISTINCT = 8191, 273, 1024, 0.80
 
 
-def _extended(n: int) -> bytes:
-    return b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255]) if n >= 15 else b""
+#: Bytes that are compared for every place at once, longer ones only where a match is taken.
+_LZ_SEEN = 32
+
+
+def _agree(words: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How many of the next bytes, up to _LZ_SEEN, are the same at c and p; words: eight bytes from each place."""
+    out = np.zeros(len(c), np.int64)
+    live = np.arange(len(c))
+    for step in range(0, _LZ_SEEN, 8):
+        x = words[c[live] + step] ^ words[p[live] + step]
+        same = np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64) >> 3  # bytes below the lowest bit that differs
+        out[live] += same
+        live = live[same == 8]
+        if not len(live):
+            break
+    return out
+
+
+def _lz_matches(whole: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places from base on, lengths and distances of matches, taken greedily from the left.
+
+    A place is compared with the last two before it that begin with the same four bytes, all places at once; a loop
+    runs over the matches that are taken.
+    """
+    n = len(whole)
+    padded = whole + bytes(_LZ_SEEN + 8)
+    words, heads = np.ndarray(n + _LZ_SEEN, "<u8", padded, strides=(1,)).copy(), np.ndarray(n - 3, "<u4", padded, strides=(1,))
+    order = heads.astype(np.uint64) << np.uint64(32) | np.arange(n - 3, dtype=np.uint64)
+    order.sort()
+    place, head = (order & np.uint64(0xFFFFFFFF)).astype(np.int64), order >> np.uint64(32)
+    before = np.full(n - 3, -1, np.int64)
+    same = head[1:] == head[:-1]
+    before[place[1:][same]] = place[:-1][same]
+    c = before[base:]
+    p = np.flatnonzero((c >= 0) & (np.arange(base, n - 3) - c <= LZ_FAR))
+    c, p = c[p], p + base
+    size = _agree(words, c, p)
+    other = before[c]
+    more = np.flatnonzero((other >= 0) & (p - other <= LZ_FAR) & (size < _LZ_SEEN))
+    second = _agree(words, other[more], p[more])
+    better = second > size[more]
+    size[more[better]], c[more[better]] = second[better], other[more[better]]
+    size = np.minimum(size, n - p)
+    marks = np.zeros(n - base + 1, np.int64)
+    marks[p - base + 1] = 1
+    following = np.cumsum(marks)  # how many places with a match lie before each
+    onward = following[p + size - base]
+    onward[size == _LZ_SEEN] = -1
+    steps, at, i, last = onward.tolist(), [], 0, len(p)
+    while i < last:
+        at.append(i)
+        to = steps[i]
+        if to < 0:  # longer than what was compared
+            k, x, y, step = _LZ_SEEN, int(p[i]), int(c[i]), _LZ_SEEN
+            most = min(LZ_LONG, n - x)
+            while k < most and whole[y + k : y + min(k + step, most)] == whole[x + k : x + min(k + step, most)]:
+                k = min(k + step, most)
+                step *= 2
+            while k < most and whole[y + k] == whole[x + k]:
+                k += 1
+            size[i] = k
+            to = int(following[x + k - base])
+        i = to
+    return p[at], size[at], (p - c)[at]
+
+
+def _lz_written(whole: bytes, base: int, p: np.ndarray, size: np.ndarray, far: np.ndarray) -> bytes:
+    """Control byte, literals and match of each match; what is left goes as literals alone."""
+    a, n = np.frombuffer(whole, np.uint8), len(whole)
+    tail = n > (p[-1] + size[-1] if len(p) else base)
+    start = np.concatenate([[base], p + size])[: len(p) + tail]
+    lit = np.concatenate([p, [n]])[: len(p) + tail] - start
+    match = np.concatenate([size - 3, [0]])[: len(p) + tail]
+    more_lit, more_match = (np.where(x >= 15, (x - 15) // 255 + 1, 0) for x in (lit, match))
+    ends = np.full(len(lit), 2)
+    ends[len(p) :] = 0
+    each = 1 + more_lit + lit + more_match + ends
+    at = np.cumsum(each) - each
+    out = np.full(int(each.sum()), 255, np.uint8)
+    out[at] = np.minimum(lit, 15) << 4 | np.minimum(match, 15)
+    long = more_lit > 0
+    out[(at + more_lit)[long]] = ((lit - 15) % 255)[long]
+    inside = np.arange(int(lit.sum())) - np.repeat(np.cumsum(lit) - lit, lit)
+    out[np.repeat(at + 1 + more_lit, lit) + inside] = a[np.repeat(start, lit) + inside]
+    behind = at + 1 + more_lit + lit + more_match
+    long = more_match > 0
+    out[(behind - 1)[long]] = ((match - 15) % 255)[long]
+    out[behind[: len(p)]], out[behind[: len(p)] + 1] = far & 255, far >> 8
+    return out.tobytes()
 
 
 def lz_compress(data: bytes, history: bytes = b"") -> bytes:
-    """02 length tokens, or 00 length data where that is no longer. Candidates come from a sort of all 4-byte windows.
+    """02 length tokens, or 00 length data where that is no longer.
 
     history: bytes that the reader has already, to which matches may reach back.
     """
-    plain, size, data = data, len(data), history + data
-    n = len(data)
-    a = np.frombuffer(data, np.uint8)
-    if size < 8 or len(np.unique(a[n - size :][:LZ_SAMPLE])) / min(size, LZ_SAMPLE) > LZ_DISTINCT:
-        return _stored(plain)
-    w = a[:-3].astype(np.uint32) | a[1:-2].astype(np.uint32) << 8 | a[2:-1].astype(np.uint32) << 16 | a[3:].astype(np.uint32) << 24
-    order = np.argsort(w, kind="stable")
-    before = np.full(n, -1, np.int64)
-    same = w[order[1:]] == w[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    before[: n - 3][np.arange(n - 3) - before[: n - 3] > LZ_FAR] = -1
-    starts = np.flatnonzero(before >= 0)
-    listed = starts.tolist()
-    past = np.searchsorted(starts, np.arange(n + 1)).tolist()
-    out, lit, i = [b"\x02", size.to_bytes(4, "little")], n - size, past[n - size]
-    while i < len(listed):
-        p = listed[i]
-        best, off = 0, 0
-        c = int(before[p])
-        for _ in range(4):  # the last few places with the same 4 bytes
-            if c < 0 or p - c > LZ_FAR:
-                break
-            size, most = 4, min(LZ_LONG, n - p)
-            step = 16
-            while size < most and data[c + size : c + min(size + step, most)] == data[p + size : p + min(size + step, most)]:
-                size = min(size + step, most)
-                step *= 2
-            while size < most and data[c + size] == data[p + size]:
-                size += 1
-            if size > best:
-                best, off = size, p - c
-            c = int(before[c])
-        m, literals = best - 3, p - lit
-        out += [bytes([min(15, literals) << 4 | min(15, m)]), _extended(literals), data[lit:p], _extended(m), off.to_bytes(2, "little")]
-        lit = p + best
-        i = past[lit]
-    if lit < n:
-        out += [bytes([min(15, n - lit) << 4]), _extended(n - lit), data[lit:]]
-    packed = b"".join(out)
-    return packed if len(packed) < size + 5 else _stored(plain)
+    size = len(data)
+    if size < 8 or len(set(data[:LZ_SAMPLE])) / min(size, LZ_SAMPLE) > LZ_DISTINCT:
+        return _stored(data)
+    whole = history + data
+    packed = b"\x02" + size.to_bytes(4, "little") + _lz_written(whole, len(history), *_lz_matches(whole, len(history)))
+    return packed if len(packed) < size + 5 else _stored(data)
 
 
 def lz_decompress(data: bytes, history: bytes = b"") -> bytes:
@@ -260,9 +313,27 @@ class LzWindow:
 
 
 def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
-    """Lengths of an optimal prefix code with codes of at most so many bits (package-merge)."""
+    """Lengths of an optimal prefix code with codes of at most so many bits."""
     if len(counts) == 1:
         return {next(iter(counts)): 1}
+    # Two rarest first; above[i] is the node that i went into.
+    heap = [(n, i) for i, (n, _) in enumerate(sorted((n, s) for s, n in counts.items()))]
+    symbols = [s for _, s in sorted((n, s) for s, n in counts.items())]
+    above, free = {}, len(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        above[a[1]] = above[b[1]] = free
+        heapq.heappush(heap, (a[0] + b[0], free))
+        free += 1
+    depth = {free - 1: 0}
+    for i in range(free - 2, -1, -1):
+        depth[i] = depth[above[i]] + 1
+    out = {s: depth[i] for i, s in enumerate(symbols)}
+    return out if max(out.values()) <= most else _limited_lengths(counts, most)
+
+
+def _limited_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
+    """The same where the limit binds (package-merge)."""
     leaves = sorted((n, (s,)) for s, n in counts.items())
     level = leaves
     for _ in range(most - 1):
@@ -325,17 +396,14 @@ def huffman_decompress(data: bytes) -> bytes:
     for s, (c, k) in canonical_codes(lengths).items():
         symbol[c << (top - k) : (c + 1) << (top - k)] = s
         width[c << (top - k) : (c + 1) << (top - k)] = k
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=7 + 2 * n))
-    padded = np.append(bits, np.zeros(top, np.uint8))
+    coded = np.frombuffer(data + bytes(4), np.uint8, offset=7 + 2 * n).astype(np.int64)
+    four = coded[:-3] << 24 | coded[1:-2] << 16 | coded[2:-1] << 8 | coded[3:]
     # What a code beginning at each bit would be, then a walk from code to code.
-    window = np.zeros(len(bits), np.int64)
-    for k in range(top):
-        window = window << 1 | padded[k : k + len(bits)]
-    following = (np.arange(len(bits)) + width[window]).tolist()
-    at, i = np.empty(size, np.int64), 0
-    for j in range(size):
-        at[j] = i
-        i = following[i]
+    window = np.stack([four >> (32 - top - k) & ((1 << top) - 1) for k in range(8)], axis=1).ravel()
+    steps, at, i = width[window].tolist(), [], 0
+    for _ in range(size):
+        at.append(i)
+        i += steps[i]
     return symbol[window[at]].tobytes()
 
 
