@@ -29,6 +29,11 @@ SLOTS, Q16 = 64, 65536.0
 _MAC = re.compile(r"[0-9A-F]{2}(:[0-9A-F]{2}){5}\Z")
 
 
+#: Flags of a frame, fixed by the format: new dictionary entries, Rice codes, dictionaries start afresh. Only the last is
+#: written by an Encoder: it alone tells a reader what it can't see from the items.
+DICT_UPDATE, USES_RICE, DICT_RESET = 1, 2, 4
+
+
 class FormatError(ValueError):
     """The bytes are not what the format says."""
 
@@ -79,6 +84,8 @@ class Slots:
         slot = len(self.slot_of)
         if slot >= self.size:
             _, slot = self.slot_of.popitem(last=False)
+        elif slot in self.value_in:  # add_at() left a gap elsewhere
+            slot = next(i for i in range(self.size) if i not in self.value_in)
         self.slot_of[value] = slot
         self.value_in[slot] = value
         return slot, True
@@ -93,6 +100,18 @@ class Slots:
     def lookup(self, value) -> int | None:
         return self.slot_of.get(value)
 
+    def add_at(self, slot: int, value) -> None:
+        """Put a value into a slot, as the one used last; what was there, and the value's old slot, go."""
+        if not 0 <= slot < self.size:
+            raise FormatError(f"no slot {slot}")
+        self.slot_of.pop(self.value_in.pop(slot, None), None)
+        self.value_in.pop(self.slot_of.pop(value, None), None)
+        self.slot_of[value], self.value_in[slot] = slot, value
+
+    def entries(self) -> list[tuple[int, object]]:
+        """Slots and their values, by slot."""
+        return sorted(self.value_in.items())
+
     def reset(self) -> None:
         self.slot_of.clear()
         self.value_in.clear()
@@ -203,12 +222,18 @@ class Encoder:
 
     def __init__(self, frequent: bool = True):
         self.fields, self.strings, self.macs, self.frequent = Slots(), Slots(), Slots(), frequent
-        self.symbols = 0
+        self.symbols = self.flags = 0
 
     def reset(self) -> None:
+        """Start afresh, as the reader has to be told by other means."""
         for s in (self.fields, self.strings, self.macs):
             s.reset()
 
+    def restart(self) -> None:
+        """Start afresh. The next frame says so, and its reader does the same."""
+        self.reset()
+        self.flags |= DICT_RESET
+
     def field(self, name: str) -> bytes:
         self.symbols += 1
         slot, new = self.fields.get_or_add(name)
@@ -364,10 +389,41 @@ class Encoder:
             i = j
         return b"".join(out)
 
-    def frame(self, items: bytes, flags: int = 0) -> bytes:
-        """A frame around what was encoded since the last one."""
-        body = MAGIC + bytes([VERSION, flags]) + varint(self.symbols) + items
-        self.symbols = 0
+    def frame(self, items: bytes) -> bytes:
+        """A frame around what was encoded since the last one; after restart() it says so."""
+        made = FrameBuilder(self.symbols, self.flags).raw(items).finish()
+        self.symbols = self.flags = 0
+        return made
+
+
+class FrameBuilder:
+    """Collects a frame's items; finish() puts header and checksum around them."""
+
+    def __init__(self, symbols: int = 0, flags: int = 0):
+        self.symbols, self.flags, self.parts = symbols, flags, []
+
+    def token(self, item: bytes) -> FrameBuilder:
+        """An item that counts as a symbol."""
+        self.symbols += 1
+        return self.raw(item)
+
+    def raw(self, data: bytes) -> FrameBuilder:
+        self.parts.append(data)
+        return self
+
+    def set_flag(self, flag: int) -> FrameBuilder:
+        self.flags |= flag
+        return self
+
+    def clear_flag(self, flag: int) -> FrameBuilder:
+        self.flags &= ~flag
+        return self
+
+    def reset(self) -> None:
+        self.symbols, self.flags, self.parts = 0, 0, []
+
+    def finish(self) -> bytes:
+        body = MAGIC + bytes([VERSION, self.flags]) + varint(self.symbols) + b"".join(self.parts)
         return body + zlib.crc32(body).to_bytes(4, "little")
 
 
@@ -720,7 +776,11 @@ def encode(value, encoder: Encoder | None = None, compress: str = "none") -> byt
 def decode(unit: bytes, decoder: Decoder | None = None, verify: bool = True) -> list:
     """Values of a unit; batches become their records."""
     out: list = []
-    for x in (decoder or Decoder()).items(parse_frame(unpack_unit(unit), verify)[1]):
+    decoder = decoder or Decoder()
+    header, data = parse_frame(unpack_unit(unit), verify)
+    if header["flags"] & DICT_RESET:
+        decoder.reset()
+    for x in decoder.items(data):
         parts = x if isinstance(x, list) and x and all(isinstance(y, Batch) for y in x) else [x]
         for p in parts:
             out += p.rows() if isinstance(p, Batch) else [p]

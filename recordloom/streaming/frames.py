@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..codec import transforms, wire
 
@@ -19,32 +20,62 @@ def _load(state: GroupState, make):
     return pickle.loads(state.get[0]) if state.exists else make()
 
 
-def encode_stream(records: DataFrame, stream: str, order: str, json: str = "json", reset: str | None = None) -> DataFrame:
-    """Streaming: records (JSON objects) of each stream become one frame for each micro-batch: stream, seq, n, payload.
+def read_pieces(spark: SparkSession, path: str, schema: str | StructType, files: int = 64) -> DataFrame:
+    """Streaming: Parquet files of a folder, at most so many in a micro-batch. That bounds what a key's step holds at once."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
-    Dictionaries go on from frame to frame; a row in which the column `reset` is true starts afresh.
+
+def cuts(sizes: Sequence[int], resets: Sequence[bool], rows: int, most: int) -> list[tuple[int, int, bool]]:
+    """Frames of a run of records: start, end, and whether dictionaries start afresh there.
+
+    A frame ends with the record that fills it, by number or by bytes, before one that asks for a reset, and with the
+    last record: nothing waits for the next micro-batch.
+    """
+    out, start, held, fresh = [], 0, 0, False
+    for i, (size, reset) in enumerate(zip(sizes, resets, strict=True)):
+        if reset and i > start:
+            out.append((start, i, fresh))
+            start, held, fresh = i, 0, False
+        fresh |= reset
+        held += size
+        if i + 1 - start >= rows or held >= most:
+            out.append((start, i + 1, fresh))
+            start, held, fresh = i + 1, 0, False
+    return out + [(start, len(sizes), fresh)] * (start < len(sizes))
+
+
+def encode_stream(records: DataFrame, stream: str, order: str, json: str = "json", reset: str | None = None, rows: int = 128, most: int = 4096) -> DataFrame:
+    """Streaming: records (JSON objects) of each stream become frames of at most `rows` records: stream, seq, n, payload.
+
+    A frame also ends with the record that brings its JSON to `most` bytes, and with the micro-batch. Dictionaries go on
+    from frame to frame; before a row in which the column `reset` is true they start afresh, on both sides: the frame
+    that begins with it carries the flag.
     """
     import json as js
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         encoder, seq = _load(state, lambda: (wire.Encoder(), 0))
-        rows = pd.concat(list(frames)).sort_values("_order")
-        if rows["_reset"].any():
-            encoder.reset()
-        records = [js.loads(x) for x in rows["_json"]]
-        payload = wire.encode_records(records, encoder)
-        state.update((pickle.dumps((encoder, seq + 1)),))
-        yield pd.DataFrame({"stream": [key[0]], "seq": [seq], "n": [len(records)], "payload": [payload]})
+        held = pd.concat(list(frames)).sort_values("_order")
+        texts = held["_json"].tolist()
+        numbers, payloads = [], []
+        for start, end, fresh in cuts([len(x.encode()) for x in texts], held["_reset"].fillna(False).astype(bool).tolist(), rows, most):
+            if fresh:
+                encoder.restart()
+            numbers.append(end - start)
+            payloads.append(wire.encode_records([js.loads(x) for x in texts[start:end]], encoder))
+        state.update((pickle.dumps((encoder, seq + len(numbers))),))
+        yield pd.DataFrame({"stream": [key[0]] * len(numbers), "seq": range(seq, seq + len(numbers)), "n": numbers, "payload": payloads})
 
     r = F.col(reset) if reset else F.lit(False)
-    rows = records.select(F.col(stream).cast("string").alias("_key"), F.col(order).cast("long").alias("_order"), F.col(json).alias("_json"), r.alias("_reset"))
-    return rows.groupBy("_key").applyInPandasWithState(step, "stream string, seq long, n long, payload binary", _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows_ = records.select(F.col(stream).cast("string").alias("_key"), F.col(order).cast("long").alias("_order"), F.col(json).alias("_json"), r.alias("_reset"))
+    return rows_.groupBy("_key").applyInPandasWithState(step, "stream string, seq long, n long, payload binary", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def decode_stream(units: DataFrame) -> DataFrame:
     """Streaming: pieces of bytes (stream, seq, payload) become records: stream, at, json.
 
-    Pieces need not end where frames do: what is left of one waits in the state for the next.
+    Pieces need not end where frames do: what is left of one waits in the state for the next. A frame that says that
+    dictionaries start afresh is read so.
     """
     import json as js
 
