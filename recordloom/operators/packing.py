@@ -6,12 +6,13 @@ order to wait for, no batch outgrows batch_rows, and unpacking needs no shuffle
 
 from __future__ import annotations
 
+import json as js
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -156,6 +157,23 @@ def _merged(items: list) -> Iterator[wire.Batch]:
 STEPS = {"rle": (transforms.rle_encode, transforms.rle_decode), "zero_rle": (transforms.zero_rle_encode, transforms.zero_rle_decode), "mtf_step": (transforms.mtf_encode, transforms.mtf_decode)}
 
 
+def framed(df: DataFrame, json: str, keys: Sequence[str]) -> DataFrame:
+    """keys and payload: each JSON value as a frame of its own, by an encoder that starts afresh."""
+    schema = ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in keys), "payload binary"])
+
+    def run(batches):
+        for b in batches:
+            out = [None if x is None else wire.encode(js.loads(x)) for x in b.column("_json").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.binary())], names=[*keys, "payload"])
+
+    return df.select(*keys, F.col(json).alias("_json")).mapInArrow(run, schema)
+
+
+def header(payload: Column, at: int) -> Column:
+    """A byte of a frame's header, by place: 4 version, 5 flags, 6 the first of the symbol count (all of it below 128)."""
+    return F.conv(F.hex(F.substring(payload, at + 1, 1)), 16, 10).cast("int")
+
+
 def transformed(df: DataFrame, text: str, kind: str, keys: Sequence[str]) -> DataFrame:
     """keys and the transform (or single step) of a text's UTF-8 bytes; a null text gives null."""
     do = STEPS[kind][0] if kind in STEPS else lambda x: transforms.transform(x, kind)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import bits
 
@@ -72,6 +75,16 @@ def nibbles(df: DataFrame, d: str, keys: Sequence[str], order: Sequence[str]) ->
     return byte.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: F.lpad(F.hex(x["b"]), 2, "0")), "").alias("packed"))
 
 
+def long_form(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """keys, at (place in the group), column_name, v: columns of integers under each other, from one scan, shuffle and sort.
+
+    What is grouped by keys and column_name afterwards stays where it is.
+    """
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = df.select(*keys, at.alias("at"), *(F.col(c).cast("long").alias(f"_{c}") for c in columns))
+    return rows.selectExpr(*(f"`{k}`" for k in keys), "at", f"stack({len(columns)}, {', '.join(f"'{c}', `_{c}`" for c in columns)}) as (column_name, v)")
+
+
 def costs(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per sequence all that a choice of encoding needs.
 
@@ -131,10 +144,22 @@ def fill_default(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def byte_histogram(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """Bytes of UTF-8 texts by value: keys, byte, n. Bytes are counted per row before anything is shuffled."""
-    hexed = F.hex(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    pairs = df.select(*keys, F.explode(F.regexp_extract_all(hexed, F.lit("(..)"), 1)).alias("h"))
-    return pairs.groupBy(*keys, F.conv("h", 16, 10).cast("int").alias("byte")).agg(F.count(F.lit(1)).alias("n"))
+    """Bytes of UTF-8 texts by value: keys, byte, n. Each Arrow batch is counted as a whole; only counts are shuffled."""
+    kinds = {f.name: f for f in df.schema}
+    schema = StructType([kinds[k] for k in keys]).add("byte", "integer").add("n", "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            found = t.group_by(list(keys), use_threads=False).aggregate([("_text", "list")])
+            for i, texts in enumerate(found.column("_text_list").combine_chunks()):
+                n = np.bincount(np.frombuffer(b"".join(x for x in texts.values.to_pylist() if x), np.uint8), minlength=256)
+                some = np.flatnonzero(n)
+                same = [pa.array([found.column(k)[i].as_py()] * len(some), b.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=schema.names)
+
+    counts = df.select(*keys, F.encode(F.col(text), "UTF-8").alias("_text")).mapInArrow(count, schema)
+    return counts.groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy_gate(df: DataFrame, text: str, keys: Sequence[str], sample: int = 1024, limit: float = 0.80) -> DataFrame:

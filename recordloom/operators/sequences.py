@@ -5,10 +5,15 @@ Order is never global: sequences are partitioned by a key, so a cluster works on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from ..codec import wire
 
 Q16 = 65536.0
 
@@ -72,30 +77,51 @@ def first_seen(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[s
     return firsts.withColumn("slot", F.row_number().over(Window.partitionBy(*keys).orderBy("first_at")) - 1)
 
 
-def lru_hits(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], slots: int = 64) -> DataFrame:
-    """Whether a dictionary of so many slots, the least recently used replaced, still holds each value: keys, at, value, hit.
+def _passed(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable, kept: Sequence[str], made: StructType) -> DataFrame:
+    """One pass over each sequence in order: kept columns, and what step(state, row) makes of each row. A state is all that is held."""
+    kinds = {f.name: f for f in df.schema}
+    schema = StructType([kinds[c] for c in kept] + made.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            rows = b.to_pylist()
+            out = []
+            for r in rows:
+                own = tuple(r[k] for k in keys)
+                if state is None or own != key:
+                    key, state = own, start()
+                out.append(step(state, r))
+            columns = [pa.array([x[i] for x in out], to_arrow_type(f.dataType)) for i, f in enumerate(made.fields)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], names=schema.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
-    A value is held if fewer than `slots` other values came since its last use: those rows j between the two uses that
-    are their value's last before the second one. The join is on the sequence and a range of places; each sequence is
-    limited by its key, and places are put into buckets of `slots` rows' multiples so that pairs meet by equality.
+
+def lru_slots(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], slots: int = 64) -> DataFrame:
+    """What a dictionary of so many slots, the least recently used replaced, does with each value: keys, at, value, hit, slot.
+
+    One ordered pass with the dictionary as its state; sequences run side by side.
     """
-    w = _window(keys, order)
-    own = Window.partitionBy(*keys, "value").orderBy("at")
-    rows = df.select(*keys, F.col(value).alias("value"), *order).withColumn("at", (F.row_number().over(w) - 1).cast("long")).select(*keys, "value", "at")
-    rows = rows.withColumn("before", F.lag("at").over(own)).withColumn("after", F.lead("at").over(own))
-    gap = F.col("at") - F.col("before") - 1
-    # Up to slots - 1 rows in between can't hold more distinct values than that: a hit without counting.
-    near = rows.where(F.col("before").isNull() | (gap < slots)).select(*keys, "at", "value", F.col("before").isNotNull().alias("hit"))
-    far = rows.where(F.col("before").isNotNull() & (gap >= slots)).select(*keys, "at", "value", "before")
-    size = 16 * slots
-    spread = far.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("before") / size), F.floor(F.col("at") / size))))
-    others = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("at").alias("j"), F.col("after").alias("next"), F.floor(F.col("at") / size).alias("b"))
-    meets = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("bucket") == F.col("b"), F.col("j") > F.col("before"), F.col("j") < F.col("at"), F.col("next").isNull() | (F.col("next") >= F.col("at"))]
-    cond = meets[0]
-    for m in meets[1:]:
-        cond = cond & m
-    counted = spread.join(others, cond).groupBy(*keys, "at", "value").agg(F.count(F.lit(1)).alias("n")).select(*keys, "at", "value", (F.col("n") < slots).alias("hit"))
-    return near.unionByName(counted)
+
+    class Held:
+        def __init__(self):
+            self.at, self.slots = -1, wire.Slots(slots)
+
+    def step(held: Held, row: dict) -> tuple[int, bool, int]:
+        held.at += 1
+        slot, new = held.slots.get_or_add(row["_value"])
+        return held.at, not new, slot
+
+    made = StructType().add("at", "long").add("hit", "boolean").add("slot", "integer")
+    rows = df.select(*keys, F.col(value).alias("_value"), *(o for o in order if o not in keys))
+    out = _passed(rows, keys, order, Held, step, [*keys, "_value"], made)
+    return out.select(*keys, "at", F.col("_value").alias("value"), "hit", "slot")
+
+
+def lru_hits(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], slots: int = 64) -> DataFrame:
+    """Whether such a dictionary still holds each value: keys, at, value, hit."""
+    return lru_slots(df, value, keys, order, slots).drop("slot")
 
 
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = 128) -> DataFrame:
@@ -104,20 +130,15 @@ def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int =
 
 
 def byte_chunks(df: DataFrame, size: Column, keys: Sequence[str], order: Sequence[str], rows: int = 128, most: int = 4096) -> DataFrame:
-    """As chunks(), but a batch also ends with the record that brings its payload to `most` bytes. keys, order, chunk.
-
-    The fold over one sequence runs inside the JVM, on an ordered array of places and sizes.
-    """
-    entries = df.select(*keys, F.struct(*order, size.cast("long").alias("size")).alias("e")).groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<bigint>").alias("out"))
+    """As chunks(), but a batch also ends with the record that brings its payload to `most` bytes. keys, order, chunk. One ordered pass."""
 
-    def step(a: Column, e: Column) -> Column:
-        n, b = a["n"] + 1, a["bytes"] + F.coalesce(e["size"], F.lit(0))
-        full = (n >= rows) | (b >= most)
-        return F.struct((a["chunk"] + full.cast("long")).alias("chunk"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, F.lit(0).cast("long")).otherwise(b).alias("bytes"), F.concat(a["out"], F.array(a["chunk"])).alias("out"))
+    def step(held: list[int], row: dict) -> tuple[int]:
+        chunk, n, used = held[0], held[1] + 1, held[2] + (row["_size"] or 0)
+        held[:] = [chunk + 1, 0, 0] if n >= rows or used >= most else [chunk, n, used]
+        return (chunk,)
 
-    folded = entries.withColumn("c", F.aggregate("es", start, step, lambda a: a["out"]))
-    return folded.select(*keys, F.explode(F.arrays_zip("es", "c")).alias("z")).select(*keys, *(F.col(f"z.es.{o}").alias(o) for o in order), F.col("z.c").alias("chunk"))
+    sized = df.select(*keys, *order, size.cast("long").alias("_size"))
+    return _passed(sized, keys, order, lambda: [0, 0, 0], step, [*keys, *order], StructType().add("chunk", "long"))
 
 
 def field_deltas(df: DataFrame, field: str, value: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -223,10 +223,11 @@ _CHOSEN = [("l_linenumber", "lineitem", "l_suppkey", "l_linenumber", LINE), ("l_
 @query(" UNION ALL ".join(f"SELECT * FROM ({_CHOICE.format(name=n, table=t, key=f'CAST({k} AS VARCHAR)' if k != 'p_retailprice' else 'p_brand', value=v, order=', '.join(o))})" for n, t, k, v, o in _CHOSEN))
 def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name, source, key, value, order in _CHOSEN:
-        t = table(spark, sf_dir, source)
-        t = t.select(F.col("p_brand" if key == "p_retailprice" else key).cast("string").alias("key"), *order, F.col(value).cast("bigint").alias("v"))
-        c = profiles.costs(t, "v", ["key"], order).select(F.lit(name).alias("column_name"), "key", "n", "all_small", "top", _b("bitpack_bytes").alias("bitpack_bytes"), _b("rle_bytes").alias("rle_bytes"), _b("rice_bytes").alias("rice_bytes"), "codec")
+    for source, key in dict.fromkeys((t, k) for _, t, k, _, _ in _CHOSEN):
+        of = [x for x in _CHOSEN if x[1:3] == (source, key)]
+        t = table(spark, sf_dir, source).withColumn("key", F.col("p_brand" if key == "p_retailprice" else key).cast("string"))
+        long = profiles.long_form(t, [x[3] for x in of], ["key"], of[0][4])
+        c = profiles.costs(long, "v", ["key", "column_name"], ["at"]).select("column_name", "key", "n", "all_small", "top", _b("bitpack_bytes").alias("bitpack_bytes"), _b("rle_bytes").alias("rle_bytes"), _b("rice_bytes").alias("rice_bytes"), "codec")
         out = c if out is None else out.unionAll(c)
     return out
 
@@ -256,6 +257,19 @@ def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.lru_hits(table(spark, sf_dir, "lineitem"), "l_partkey", ["l_suppkey"], LINE, 64)
 
 
+@query("""WITH RECURSIVE r AS (SELECT o_custkey % 50 AS k, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS p, CAST(floor(o_totalprice) AS BIGINT) % 100 AS v FROM orders),
+    s(k, p, v, hit, slot, held, used) AS (SELECT k, p, v, false, CAST(0 AS BIGINT), [v], [v] FROM r WHERE p = 0 UNION ALL
+      SELECT r.k, r.p, r.v, list_contains(held, r.v), CASE WHEN list_contains(held, r.v) THEN list_position(held, r.v) - 1 WHEN len(held) < 64 THEN len(held) ELSE list_position(held, used[1]) - 1 END,
+        CASE WHEN list_contains(held, r.v) THEN held WHEN len(held) < 64 THEN list_append(held, r.v) ELSE list_transform(held, lambda x: CASE WHEN x = used[1] THEN r.v ELSE x END) END,
+        CASE WHEN list_contains(held, r.v) THEN list_append(list_filter(used, lambda x: x <> r.v), r.v) WHEN len(held) < 64 THEN list_append(used, r.v) ELSE list_append(used[2:], r.v) END
+      FROM s JOIN r ON r.k = s.k AND r.p = s.p + 1)
+    SELECT k, CAST(p AS BIGINT) AS at, v AS value, hit, CAST(slot AS INTEGER) AS slot FROM s""")
+def lru_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a dictionary that is full and replaces values."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), "o_orderkey", (F.floor("o_totalprice") % 100).alias("v"))
+    return sequences.lru_slots(o, "v", ["k"], ["o_orderkey"], 64)
+
+
 @query("""SELECT c_custkey, CAST(greatest(-32768, least(32767, round_even(c_acctbal * 256, 0))) AS BIGINT) AS f16, CAST(greatest(-2147483648, least(2147483647, round_even(c_acctbal * 65536, 0))) AS BIGINT) AS f32,
     greatest(-2147483648, least(2147483647, round_even(c_acctbal * 65536, 0))) / 65536.0 AS back FROM customer""")
 def fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,86 @@ def test_running_window():
     assert [b.decompress(p) for p in packed] == pieces
     again = b"a sentence that comes twice, word for word"
     assert len(a.compress(again)) > len(a.compress(again))
+
+
+def _log_lines():
+    return "".join(f"2024-01-{i % 28 + 1:02d} 10:{i % 60:02d}:{i * 7 % 60:02d} INFO worker-{i % 9} request id={i * 37 % 9973} took {i * 13 % 500} ms status=200\n" for i in range(1500)).encode()
+
+
+def test_lz_makes_texts_smaller():
+    """Ratios on log lines, JSON, prose and the running window, not only round trips."""
+    import pyarrow.parquet as pq
+
+    log = _log_lines()
+    packed = transforms.lz_compress(log)
+    assert packed[0] == 2 and 3 * len(packed) < len(log) and transforms.lz_decompress(packed) == log
+    docs = [x.encode() for x in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if x and len(x) >= 500]
+    small = [transforms.lz_compress(x) for x in docs]
+    assert all(transforms.lz_decompress(y) == x for x, y in zip(docs, small, strict=True))
+    assert sum(y[0] == 2 for y in small) >= 0.95 * len(docs) and 1.3 * sum(map(len, small)) < sum(map(len, docs))
+    for kind in ("lz", "auto", "lz_huffman"):
+        assert 3 * len(transforms.transform(log, kind)) < len(log), kind
+    out, back, sizes = transforms.LzWindow(), transforms.LzWindow(), 0
+    for i in range(0, len(log), 700):  # short pieces find their matches in the window
+        y = out.compress(log[i : i + 700])
+        assert back.decompress(y) == log[i : i + 700]
+        sizes += len(y)
+    assert 2.5 * sizes < len(log)
+
+
+@pytest.mark.parametrize("history", [0, 3, 300, 9000])
+def test_lz_at_the_edges(history):
+    rng = random.Random(history)
+    before = bytes(rng.choice(b"abcd") for _ in range(history))
+    texts = [b"", b"a", b"abcdefgh", b"ab" * 500, bytes(5000), bytes(range(256)) * 3, b"x" * 7 + b"abcd" * 68 + b"y" + b"abcd" * 69, b"q" * 273, b"q" * 277]
+    texts += [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 90))) * rng.randint(1, 12) for _ in range(300)]
+    for x in texts:
+        assert transforms.lz_decompress(transforms.lz_compress(x, before), before) == x
+
+
+def test_huffman_lengths_are_least():
+    rng = random.Random(4)
+    for _ in range(40):
+        counts = {i: rng.choice([1, 2, 3, 50, 1000, 10**6]) for i in range(rng.randint(2, 60))}
+        a, b = transforms.code_lengths(counts), transforms._limited_lengths(counts, 15)
+        assert sum(2.0**-x for x in a.values()) == 1 and max(a.values()) <= 15
+        assert sum(counts[s] * n for s, n in a.items()) == sum(counts[s] * n for s, n in b.items())
+
+
+def test_flags_and_reset():
+    e, d = wire.Encoder(), wire.Decoder()
+    units = [wire.encode("x", e), wire.encode("x", e)]
+    e.restart()
+    units += [wire.encode(v, e) for v in ("w0", "x", "w0")]
+    assert [wire.parse_frame(u)[0]["flags"] for u in units] == [0, 0, 4, 0, 0]
+    assert [wire.decode(u, d) for u in units] == [["x"], ["x"], ["w0"], ["x"], ["w0"]]
+
+
+def test_frame_builder():
+    b = wire.FrameBuilder().set_flag(wire.USES_RICE).set_flag(wire.DICT_RESET).clear_flag(wire.USES_RICE)
+    frame = b.token(wire.Encoder().value(7)).raw(b"").finish()
+    head, data = wire.parse_frame(frame)
+    assert (head["flags"], head["symbols"]) == (wire.DICT_RESET, 1) and wire.decode(frame) == [7] and data
+    b.reset()
+    assert wire.parse_frame(b.finish())[0]["symbols"] == 0
+
+
+def test_slots_by_place():
+    s = wire.Slots(3)
+    s.add_at(1, "b")
+    assert s.entries() == [(1, "b")] and "b" in s and s.lookup("b") == 1
+    assert [s.get_or_add(x) for x in "acb"] == [(0, True), (2, True), (1, False)]
+    assert s.get_or_add("d") == (0, True) and s.entries() == [(0, "d"), (1, "b"), (2, "c")]
+    s.add_at(2, "b")
+    assert s.entries() == [(0, "d"), (2, "b")] and s.get(2) == "b" and s.lookup("c") is None
+    with pytest.raises(wire.FormatError):
+        s.add_at(3, "x")
+
+
+def test_cuts_of_a_stream():
+    from recordloom.streaming.frames import cuts
+
+    assert cuts([1] * 5, [False] * 5, 2, 100) == [(0, 2, False), (2, 4, False), (4, 5, False)]
+    assert cuts([5, 5, 1, 9], [False] * 4, 9, 10) == [(0, 2, False), (2, 4, False)]
+    assert cuts([1] * 4, [True, False, True, True], 9, 99) == [(0, 2, True), (2, 3, True), (3, 4, True)]
+    assert cuts([], [], 9, 99) == []
