@@ -764,7 +764,10 @@ def pack_unit(frame: bytes, compress: str = "zlib") -> bytes:
 def unpack_unit(unit: bytes) -> bytes:
     if unit[:4] == MAGIC:
         return unit
-    return transforms.untransform(unit[1:] if unit[:1] == b"\xfe" else unit)
+    try:
+        return transforms.untransform(unit[1:] if unit[:1] == b"\xfe" else unit)
+    except (zlib.error, IndexError) as e:
+        raise FormatError(f"damaged unit: {e}") from e
 
 
 def encode(value, encoder: Encoder | None = None, compress: str = "none") -> bytes:

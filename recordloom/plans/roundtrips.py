@@ -132,9 +132,9 @@ def packed_source_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written and read by the data source."""
     t = table(spark, sf_dir, "orders")
     packed_source.register(spark)
-    path = scratch_path(spark, "files").removeprefix("file://").removeprefix("file:")
+    path = scratch_path(spark, "files")
     t.write.format("recordloom").mode("append").option("path", path).save()
-    return spark.read.format("recordloom").schema(t.schema).option("path", path).load()
+    return spark.read.format("recordloom").schema(t.schema).option("path", path).option("split_bytes", 64 << 10).load()
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (event_id % 4 <> 0) AS good FROM events")

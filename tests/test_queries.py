@@ -116,6 +116,30 @@ def test_source_overwrites_and_reads_nothing(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_source_cuts_files_at_units(spark, tmp_path):
+    packed_source.register(spark)
+    df = spark.range(5000).select(F.col("id").alias("a"), F.concat(F.lit("row "), F.col("id")).alias("s")).coalesce(1)
+    path = f"file://{tmp_path}/p"
+    df.write.format("recordloom").mode("append").option("path", path).option("batch_rows", 100).save()
+    read = spark.read.format("recordloom").schema("a long, s string").option("path", path)
+    for split, least in ((1, 50), (4000, 4), (1 << 30, 1)):
+        back = read.option("split_bytes", split).load()
+        assert back.rdd.getNumPartitions() >= least and (split > 1 or back.rdd.getNumPartitions() == 50)
+        assert sorted((r.a, r.s) for r in back.collect()) == [(i, f"row {i}") for i in range(5000)]
+    some = spark.read.format("recordloom").schema("s string").option("path", path).load()
+    assert some.columns == ["s"] and some.count() == 5000
+    # A file without an index is one range; a damaged unit is an error, or passed over.
+    file = next((tmp_path / "p").glob("*.loom"))
+    data = file.read_bytes()
+    end = len(data) - 16 - int.from_bytes(data[-16:-8], "little") - 1
+    file.write_bytes(data[:end])
+    assert read.load().rdd.getNumPartitions() == 1 and read.load().count() == 5000
+    file.write_bytes(data[:1000] + bytes([data[1000] ^ 1]) + data[1001:])
+    with pytest.raises(Exception):
+        read.load().collect()
+    assert read.option("mode", "PERMISSIVE").load().count() == 4900
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
     from pyspark.sql.types import StructType
