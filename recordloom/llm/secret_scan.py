@@ -38,6 +38,8 @@ _QUOTED = {
     "`": [re.compile(r"`((?:[^`\\]++|\\.)*+)`", re.S), re.compile(r"`([^`]*+)`"), re.compile(r"`([^\n]*+)")],
     **{q: [re.compile(x, re.S) for x in (rf"{q}((?:[^{q}\\\n]++|\\.)*+){q}", rf"{q}((?:[^{q}\\\n]++|\\.|\n(?![ \t\r]*\n))*+){q}", rf"{q}([^{q}\n]*+){q}", rf"{q}([^\n]*+)")] for q in "\"'"},
 }
+#: A block of lines further in than the first of them, behind | or >.
+_BLOCK = re.compile(r"[ \t]*+[|>][+\-0-9]*+[ \t]*+\r?\n([ \t]++)([^\s][^\n]*+(?:\n\1[^\n]*+|\n[ \t]*+(?=\n))*+)")
 _BARE = re.compile(r"""[^\s"'`,;#<>{}()\[\]]++""")
 #: What joins another part to a quoted literal and to a bare value.
 _MORE = re.compile(r"""[ \t]*+(?:\+[ \t]*+(?:\\?\r?\n[ \t]*+)?|\.(?:[ \t]++|(?=["'`]))|\\?\r?\n[ \t]*+[+.][ \t]*+(?=["'`]))|(?=["'`])""")
@@ -49,6 +51,8 @@ _WORD = re.compile(r"[A-Za-z_][\w.]*+", re.A)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: How much a part of a name says that its value is secret.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "apikey": 3, "token": 2, "credential": 2, "credentials": 2, "auth": 1, "key": 1, "private": 2, "access": 1, "api": 1, "bearer": 2, "signing": 1, "session": 1, "client": 1}
+#: Types that stand between a name and its value, and are no names themselves.
+TYPES = {"str", "string", "bytes", "byte", "char", "text", "varchar", "any", "object", "optional", "int", "float", "number", "bool", "boolean"}
 #: Values that stand for none.
 PLACEHOLDERS = {"none", "null", "true", "false", "changeme", "example", "password", "secret", "token", "test", "undefined", "your", "xxx"}
 #: Name and literal scores that a reported literal reaches together, shortest literal.
@@ -143,6 +147,9 @@ class _Lexer:
     def value(self, at: int) -> int | None:
         """Node of the concatenation to the right of a sign."""
         text, found, tail = self.text, [], None
+        if (block := _BLOCK.match(text, at)) and text[at - 1] == ":":
+            self.nodes.append((block.span(2), ()))
+            return len(self.nodes) - 1
         at = _BLANKS.match(text, at).end()
         while at not in self.chains:
             start = at
@@ -179,7 +186,7 @@ class _Lexer:
         for sign in _SIGN.finditer(self.text):
             names = self.names(sign.start())
             if names and (node := self.value(sign.end())) is not None:
-                self.given.update(dict.fromkeys(names, node))
+                self.given.update({n: node for n in names if n.lower() not in TYPES})
                 targets.append((node, max(map(name_score, names))))
         score = [0.0] * len(self.nodes)
         for node, x in targets:

@@ -164,6 +164,18 @@ def test_labels_of_held_out_rows_are_not_learnt_from(spark):
     assert set(drawn) == {t for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1}
 
 
+@pytest.mark.parametrize("name, label, cut, recall, precision", [("op3_quality", "quality", 0.5, 0.97, 0.97), ("op7_toxicity", "toxic", 0.7, 0.75, 0.93)])
+def test_classifiers_on_held_out_rows(spark, name, label, cut, recall, precision):
+    """Whole tables of 10 000 documents. op7: 8 in 100 of its toxic texts there have lost the words that made them so."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.queries()[name](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    rows = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", label).collect()
+    assert all(r.predicted == int(r.score >= cut) for r in rows)
+    hit = sum(r.predicted and r[label] for r in rows)
+    assert hit >= recall * sum(r[label] for r in rows) and hit >= precision * sum(r.predicted for r in rows)
+
+
 # 4 licenses ---------------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +204,49 @@ def test_licenses(spark):
     assert license_scan.scan(none(spark)).count() == 0
 
 
+def _license_method_brute(text):
+    """Labels and best cover of the method, run by run and diagonal by diagonal."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = set(), 0.0
+    for label, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            t = license_scan.words_of(notice)
+            votes = {}
+            for i in range(len(words) - 3):
+                for j in range(len(t) - 3):
+                    if words[i : i + 4] == t[j : j + 4]:
+                        votes.setdefault(i - j, set()).update(range(j, j + 4))
+            band, last = set(), None
+            for d in [*sorted(votes), None]:
+                if last is not None and (d is None or d - last > 3):
+                    if len(band) >= 0.75 * len(t):
+                        labels.add(label)
+                        best = max(best, len(band) / len(t))
+                    band = set()
+                if d is not None:
+                    band |= votes[d]
+                last = d
+    return labels, best
+
+
+def test_license_labels_against_brute_force(spark):
+    rng = random.Random(5)
+    notices = [n for x in license_scan.TEMPLATES.values() for n in x]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for _ in range(120):
+        w = rng.choice(notices).split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.choice([[], ["changed"], ["two", "more"]])
+        texts.append(" ".join(rng.choices(["lorem", "the", "license", "of"], k=rng.randrange(6)) + w + rng.choice(notices).split()[: rng.randrange(9)]))
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        labels, best = _license_method_brute(t)
+        base = set(got[i].base_labels)
+        assert set(got[i].labels) == base | labels, t
+        assert got[i].score == pytest.approx(1.0 if base else min(1.0, best))
+
+
 # 5 secrets ----------------------------------------------------------------------------------------------------------
 
 
@@ -265,12 +320,46 @@ def test_secrets_have_no_longest_literal(text, wanted):
     assert '"user": "bob"' in left or "user" not in text
 
 
+def test_secrets_planted_in_source_and_configuration():
+    """Every literal under a sensitive name is found, whole and nothing else, in many a syntax; those under other names are not."""
+    rng = random.Random(21)
+    secret = lambda n: "Zq7" + "".join(rng.choices("abcdefXYZ0123456789", k=n))
+    names, plain = ["db_pwd", "dbPwd", "AUTH_CREDENTIAL", "user.passphrase", "client-passphrase"], ["title", "color", "file_name", "width"]
+    shapes = ['{n} = "{v}"', "{n}='{v}'", '"{n}": "{v}",', "{n}: {v}", "  {n}: '{v}'  # note", "export {n}={v}", '{n} := `{v}`', '<a {n}="{v}"/>', 'x.{n} = "{v}";', "# {n} = '{v}'", "{n}: |\n    {v}", 'f({n}="{v}", 1)', '{n} = """{v}"""', "{n}: str = r'{v}'"]
+    for _ in range(150):
+        lines, wanted = [], set()
+        for _ in range(rng.randint(1, 8)):
+            good, v = rng.random() < 0.6, secret(rng.choice([12, 30, 80]))
+            lines.append(rng.choice(shapes).format(n=rng.choice(names if good else plain), v=v))
+            if good:
+                wanted.add(v)
+        text = "\n".join(lines) + "\n"
+        assert set(_named(text)) == wanted, text
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ('db_pwd = "%s"' % ("Zx81mQ0p" * 1250), ["Zx81mQ0p" * 1250]),
+        ("k = 'Zx81mQ0pL4vT7'\nk = 'Qw72nB5tR9yU3'\ndb_pwd = k", ["Qw72nB5tR9yU3"]),
+        ("k = 'Zx81mQ0pL4vT7'  # not db_pwd\n# a comment\ndb_pwd = k  # here", ["Zx81mQ0pL4vT7"]),
+        ("db_pwd = k\nk = 'Zx81mQ0pL4vT7'", []),
+        ("[main]\ndb_pwd = Zx81mQ0pL4vT7\n; note\nuser = Qw72nB5tR9yU3", ["Zx81mQ0pL4vT7"]),
+        ("a:\n  private_key: |\n    -----BEGIN KEY-----\n    Zx81mQ0pL4vT7\n\n    Qw72nB5tR9yU3\n  user: bob", ["-----BEGIN KEY-----\n    Zx81mQ0pL4vT7\n\n    Qw72nB5tR9yU3"]),
+        ("private_key: >-\n  Zx81mQ0pL4vT7\n  Qw72nB5tR9yU3", ["Zx81mQ0pL4vT7\n  Qw72nB5tR9yU3"]),
+        ("db_pwd = 'Zx81\\'mQ0pL4vT7'", ["Zx81\\'mQ0pL4vT7"]),
+    ],
+)
+def test_secrets_in_syntax(text, wanted):
+    assert [x.strip() for x in _named(text)] == wanted
+
+
 def test_secrets_by_way_of_many_names():
     text = "a0 = 'Zx81mQ0pL4vT7'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(60)) + "db_pwd = a60"
     assert _named(text) == ["Zx81mQ0pL4vT7"]
 
 
-@pytest.mark.parametrize("piece", ["a=", "pwd=", "x=1 + ", "pwd='", 'k="b=" + ', 'k=\\"', "a:b", "pwd = pwd + 'Zx81mQ0pL4vT7'\n", "pwd ", "pwd=x`\n", "a=[", '"""pwd=', "0", "pwd: a: "])
+@pytest.mark.parametrize("piece", ["a=", "pwd=", "x=1 + ", "pwd='", 'k="b=" + ', 'k=\\"', "a:b", "pwd = pwd + 'Zx81mQ0pL4vT7'\n", "pwd ", "pwd: |\n  x\n", "pwd: |\n", "pwd: |\n \n", "pwd=x`\n", "a=[", '"""pwd=', "0", "pwd: a: "])
 def test_secrets_in_time_that_follows_the_length(piece):
     text = piece * (200_000 // len(piece))
     took = time.process_time()
