@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -19,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, held, map_steps, materialize
+from .common import discard, give_back, held, lower, map_steps, materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Words of a window, and about as many bytes of benchmark text in one automaton (some 20 bytes of memory for each).
 WINDOW, CHUNK_BYTES = 10, 8 << 20
 #: Words of an item and a document that are compared at once.
@@ -33,11 +33,6 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(lower(text)) if text else []
 
 
-def lower(text: str) -> str:
-    """A-Z become a-z, nothing else changes, so offsets stay."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
 class Automaton:
     """Blocks of the items' words, and where each block stands."""
 
@@ -66,8 +61,7 @@ class Automaton:
         """Merged spans of hit words, as places, and the ids of items that have windows there."""
         if not self.places or not words:
             return [], set()
-        get = self.number.get
-        doc = tuple([get(w, 0) for w in words])
+        doc = tuple(map(self.number.get, words, repeat(0)))
         spans, ids, seen, line = [], set(), {}, None
         for last, i in self.automaton.iter(doc):
             n = self.sizes[i]
