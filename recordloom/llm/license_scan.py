@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import map_steps, materialize
+from .common import lower, map_steps, materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words of a k-gram; how far apart diagonals of one span lie; share of a template or sentence that a span covers.
@@ -35,13 +35,10 @@ TEMPLATES = {
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
-_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+    return WORD.findall(lower(text)) if text else []
 
 
 class Templates:
@@ -93,11 +90,12 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, id_col: str
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = [[] for _ in range(7)]
         for text in batch.column("text").to_pylist():
-            words = words_of(text)
+            low = lower(text) if text else ""
+            words = WORD.findall(low)
             starts, labels = [], set()
-            for first, own in by_first.items():
+            for first, own in by_first.items() if quick.search(low) else ():
                 at = -1
-                for _ in range(words.count(first) if text and quick.search(text.lower()) else 0):
+                for _ in range(words.count(first)):
                     at = words.index(first, at + 1)
                     for w, label in own:
                         if words[at : at + len(w)] == w:
