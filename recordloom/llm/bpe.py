@@ -9,6 +9,8 @@ undoing their merges, the latest first, never shows a pair across their border t
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -39,7 +41,7 @@ class Tokenizer:
         model = spec["model"]
         letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.letter_of = {b: c for b, c in enumerate(letters)}
+        self.letters = str.maketrans(dict(enumerate(letters)))
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(self.byte_of[c] for c in t) for t, i in vocab.items() if all(c in self.byte_of for c in t)}
@@ -88,21 +90,30 @@ class Tokenizer:
             else:
                 soonest, right = (of_right, 2), self.parts[right][0]
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given in the vocabulary's letters."""
         n = len(word)
-        last = [(-1, 0)] * (n + 1)  # per prefix: its last token, and that token's length
-        for end, (token, size) in self.automaton.iter(word):
+        last, size = [-1] * (n + 1), [0] * (n + 1)  # per prefix: its last token, and that token's length
+        known = self.pairs.get
+        for end, (token, k) in self.automaton.iter(word):
             end += 1
-            if not last[end][1]:
-                before = end - size
-                if before == 0 or last[before][1] and self.compatible(last[before][0], token):
-                    last[end] = (token, size)
+            if size[end]:
+                continue
+            before = end - k
+            if before:
+                if not size[before]:
+                    continue
+                left = last[before]
+                apart = known((left, token))
+                if not (self.compatible(left, token) if apart is None else apart):
+                    continue
+            last[end], size[end] = token, k
         ids = []
         while n:
-            ids.append(last[n][0])
-            n -= last[n][1]
-        return tuple(ids[::-1])
+            ids.append(last[n])
+            n -= size[n]
+        ids.reverse()
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text, special tokens where their texts stand."""
@@ -128,8 +139,11 @@ class _Words(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        letters = self.tokenizer.letter_of
-        ids = np.array(self.tokenizer.encode_word("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])), "<u4").tobytes()
+        t = self.tokenizer
+        ids = array("I", t.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(t.letters)))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
                 self.clear()
