@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import packing, profiles
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import json as json_source
 from ..sources import packed as packed_source
 from ..streaming import frames
@@ -36,7 +36,7 @@ for _name, _order in TABLES.items():
 
 def _transform_query(kind: str, source: str, keys: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return packing.untransformed(packing.transformed(table(spark, sf_dir, source), "text", kind, keys), keys)
+        return packing.untransformed(packing.transformed(spread(table(spark, sf_dir, source).select(*keys, "text")), "text", kind, keys), keys)
 
     run.__name__ = f"{kind}_roundtrip"
     run.__doc__ = f"Every text of {source} through the {kind} transform and back."
