@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, materialize, scratch_path, ship  # noqa: F401
+from ..session import discard, materialize, scratch_path, ship, spread  # noqa: F401
 
 #: A side of a join is broadcast up to so many bytes; what a row of it takes beside its columns.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 24

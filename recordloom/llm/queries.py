@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontamination, jaccard_join, license_scan, quality, secret_scan, sharding, topk_search, toxicity, url_filter
-from .common import prepared, table
+from .common import prepared, spread, table
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,15 +32,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.score(docs, quality.train(docs, labels), threshold=0.5)
+    return quality.score(spread(docs), quality.train(docs, labels), threshold=0.5)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.digest(license_scan.scan(table(prepared(spark), sf_dir, "documents")))
+    return license_scan.digest(license_scan.scan(spread(table(prepared(spark), sf_dir, "documents"))))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(prepared(spark), sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(spread(table(prepared(spark), sf_dir, "documents"))))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,20 +49,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.score(docs, toxicity.train(docs, labels), threshold=0.7)
+    return toxicity.score(spread(docs), toxicity.train(docs, labels), threshold=0.7)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest(decontamination.scan(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+    return decontamination.digest(decontamination.scan(spread(table(prepared(spark), sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=10))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.digest(jaccard_join.join(table(prepared(spark), sf_dir, "documents")))
+    return jaccard_join.digest(jaccard_join.join(spread(table(prepared(spark), sf_dir, "documents"))))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_files()
-    return bpe.digest(bpe.round_trip(table(prepared(spark), sf_dir, "documents"), path, pattern))
+    return bpe.digest(bpe.round_trip(spread(table(prepared(spark), sf_dir, "documents")), path, pattern))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
