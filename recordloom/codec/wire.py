@@ -220,8 +220,9 @@ def is_viable(v: np.ndarray) -> bool:
 class Encoder:
     """Keeps its dictionaries from batch to batch until reset()."""
 
-    def __init__(self, frequent: bool = True):
-        self.fields, self.strings, self.macs, self.frequent = Slots(), Slots(), Slots(), frequent
+    def __init__(self, frequent: bool = True, packs: bool = False):
+        """packs: whether binaries of zeros and ones, or of values up to 3, are written with 1 or 2 bits a byte."""
+        self.fields, self.strings, self.macs, self.frequent, self.packs = Slots(), Slots(), Slots(), frequent, packs
         self.symbols = self.flags = 0
 
     def reset(self) -> None:
@@ -258,6 +259,8 @@ class Encoder:
             raw = v.encode()
             return bytes([NEW_STRING]) + varint(len(raw)) + raw if new else bytes([STRING + slot])
         if isinstance(v, (bytes, bytearray)):
+            if self.packs and v and max(v) <= 3:
+                return packed_binary(bytes(v))
             return bytes([BINARY]) + varint(len(v)) + bytes(v)
         if isinstance(v, dict):
             self.symbols += 1
@@ -396,6 +399,13 @@ class Encoder:
         return made
 
 
+def packed_binary(v: bytes) -> bytes:
+    """A binary whose bytes are at most 3 with 1 or 2 bits for each, the lowest first."""
+    each = 1 if max(v) <= 1 else 2
+    bits = np.unpackbits(np.frombuffer(v, np.uint8).reshape(-1, 1), axis=1, count=each, bitorder="little")
+    return bytes([BITS1 if each == 1 else BITS2]) + varint(len(v)) + np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
 class FrameBuilder:
     """Collects a frame's items; finish() puts header and checksum around them."""
 

@@ -107,3 +107,21 @@ def rice_code(u: Column, k: Column) -> Column:
     q = F.call_function("shiftrightunsigned", u, k)
     low = F.lpad(F.bin(u - F.call_function("shiftleft", q, k)), k, "0")
     return F.concat(F.repeat(F.lit("0"), q.cast("int")), F.lit("1"), F.when(k > 0, low).otherwise(""))
+
+
+def byte_width(values: Column) -> Column:
+    """Bits that each byte of an array needs at least: 1 if all are at most 1, 2 if all are at most 3, else 8."""
+    top = F.array_max(values)
+    return F.when(top <= 1, 1).when(top <= 3, 2).otherwise(8)
+
+
+def packed_hex(values: Column, width: Column) -> Column:
+    """An array of bytes with so many bits for each, the lowest first, as hex; no element gives the empty text."""
+    per = F.floor(F.lit(8) / width).cast("int")
+    count = F.ceil(F.size(values) / per).cast("int")
+
+    def byte(i: Column) -> Column:
+        parts = F.transform(F.slice(values, i * per + 1, per), lambda v, j: v.cast("int") * F.pow(F.lit(2), j * width).cast("int"))
+        return F.lpad(F.hex(F.aggregate(parts, F.lit(0), lambda a, x: a + x)), 2, "0")
+
+    return F.when(F.size(values) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), byte), ""))

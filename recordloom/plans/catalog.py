@@ -257,6 +257,17 @@ def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.lru_hits(table(spark, sf_dir, "lineitem"), "l_partkey", ["l_suppkey"], LINE, 64)
 
 
+@query("""WITH v AS (SELECT doc_id, list_transform(range(0, 13), lambda i: ((doc_id * 7919) >> CAST(i AS INTEGER)) & (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 7 END)) AS b FROM documents),
+    w AS (SELECT *, CASE WHEN list_max(b) <= 1 THEN 1 WHEN list_max(b) <= 3 THEN 2 ELSE 8 END AS width FROM v)
+    SELECT doc_id, CAST(width AS INTEGER) AS width, array_to_string(list_transform(range(0, CAST(ceil(13 * width / 8.0) AS BIGINT)), lambda g: printf('%02X', CAST(list_sum(list_transform(b[g * (8 // width) + 1 : (g + 1) * (8 // width)], lambda x, j: x << CAST((j - 1) * width AS INTEGER))) AS BIGINT))), '') AS packed FROM w""")
+def binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of small numbers made of ids, with as many bits for each as they need."""
+    mask = F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 3).otherwise(7)
+    b = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.call_function("shiftright", F.col("doc_id") * 7919, i).bitwiseAND(mask.cast("bigint")))
+    t = table(spark, sf_dir, "documents").select("doc_id", b.alias("b")).withColumn("width", bits.byte_width(F.col("b")))
+    return t.select("doc_id", "width", bits.packed_hex(F.col("b"), F.col("width")).alias("packed"))
+
+
 @query("""WITH RECURSIVE r AS (SELECT o_custkey % 50 AS k, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS p, CAST(floor(o_totalprice) AS BIGINT) % 100 AS v FROM orders),
     s(k, p, v, hit, slot, held, used) AS (SELECT k, p, v, false, CAST(0 AS BIGINT), [v], [v] FROM r WHERE p = 0 UNION ALL
       SELECT r.k, r.p, r.v, list_contains(held, r.v), CASE WHEN list_contains(held, r.v) THEN list_position(held, r.v) - 1 WHEN len(held) < 64 THEN len(held) ELSE list_position(held, used[1]) - 1 END,

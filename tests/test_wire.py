@@ -262,3 +262,12 @@ def test_cuts_of_a_stream():
     assert cuts([5, 5, 1, 9], [False] * 4, 9, 10) == [(0, 2, False), (2, 4, False)]
     assert cuts([1] * 4, [True, False, True, True], 9, 99) == [(0, 2, True), (2, 3, True), (3, 4, True)]
     assert cuts([], [], 9, 99) == []
+
+
+@pytest.mark.parametrize("v", [b"\x00", b"\x01\x00\x01" * 7, bytes([0, 1, 2, 3, 3]), b"\x04\x00", b"", bytes(100)])
+def test_binaries_with_few_bits(v):
+    u = wire.encode(v, wire.Encoder(packs=True))
+    assert wire.decode(u) == [v] and wire.decode(wire.encode(v)) == [v]
+    first = wire.parse_frame(u)[1][:1]
+    assert first == (bytes([wire.BINARY]) if not v or max(v) > 3 else bytes([wire.BITS1 if max(v) <= 1 else wire.BITS2]))
+    assert len(u) <= len(wire.encode(v))
