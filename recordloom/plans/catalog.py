@@ -312,13 +312,17 @@ def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MACQ = "array_to_string(list_transform(generate_series(0, 5), lambda i: substr(printf('%012X', event_id * 2654435 % 281474976710656), CAST(2 * i + 1 AS INTEGER), 2)), ':')"
 
 
-@query(f"SELECT event_id, {_MACQ} AS mac, true AS valid, event_id % 2 = 2 AS other_valid, printf('%012X', event_id * 2654435 % 281474976710656) AS bytes FROM events")
+@query(f"""WITH m AS (SELECT event_id, {_MACQ} AS mac, printf('%012X', event_id * 2654435 % 281474976710656) AS bytes FROM events),
+    r AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN mac ELSE lower(replace(mac, ':', '-')) END AS raw FROM m), t AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN substr(raw, 1, 16) ELSE raw END AS cut FROM r),
+    v AS (SELECT *, regexp_full_match(cut, '([0-9A-Fa-f][0-9A-Fa-f][:-])*[0-9A-Fa-f][0-9A-Fa-f]') AND length(cut) = 17 AS valid FROM t)
+    SELECT event_id, CASE WHEN valid THEN mac END AS mac, valid, regexp_full_match(raw || '0', '([0-9A-Fa-f][0-9A-Fa-f][:-])*[0-9A-Fa-f][0-9A-Fa-f]') AS other_valid, CASE WHEN valid THEN bytes END AS bytes FROM v""")
 def mac_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses made of ids, written with either separator and case, parsed and formatted."""
+    """Addresses made of ids, written with either separator and case, some cut short, parsed and formatted."""
     h = F.lpad(F.hex(F.expr("event_id * 2654435 % 281474976710656")), 12, "0")
     mac = F.when(F.col("event_id") % 2 == 0, F.regexp_replace(h, "(..)(?!$)", "$1:")).otherwise(F.lower(F.regexp_replace(h, "(..)(?!$)", "$1-")))
-    parsed = text.parse_mac(mac)
-    return table(spark, sf_dir, "events").select("event_id", text.format_mac(parsed).alias("mac"), text.is_mac(mac).alias("valid"), text.is_mac(F.concat(mac, F.lit("0"))).alias("other_valid"), F.hex(parsed).alias("bytes"))
+    cut = F.when(F.col("event_id") % 7 == 0, F.substring(mac, 1, 16)).otherwise(mac)
+    parsed = text.parse_mac(cut)
+    return table(spark, sf_dir, "events").select("event_id", text.format_mac(parsed).alias("mac"), text.is_mac(cut).alias("valid"), text.is_mac(F.concat(mac, F.lit("0"))).alias("other_valid"), F.hex(parsed).alias("bytes"))
 
 
 @query("SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST(length(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g')) AS BIGINT) AS n_ascii, md5(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g')) AS ascii_md5 FROM documents")
@@ -372,7 +376,8 @@ def entropy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", _b("kinds").alias("kinds"), _b("looked_at").alias("looked_at"), F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'object' WHEN event_id % 5 = 1 THEN 'float' WHEN event_id % 5 = 2 THEN 'int' WHEN event_id % 5 = 3 THEN 'string' ELSE 'null' END AS kind FROM events""")
+@query("""WITH j AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN event_id || '.5e1' WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN CAST(to_json(event_type) AS VARCHAR) ELSE 'null' END AS j FROM events)
+    SELECT event_id, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' ELSE 'int' END AS kind FROM j""")
 def value_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.when(F.col("event_id") % 5 == 0, F.col("props")).when(F.col("event_id") % 5 == 1, F.concat(F.col("event_id").cast("string"), F.lit(".5e1"))).when(F.col("event_id") % 5 == 2, F.col("event_id").cast("string")).when(F.col("event_id") % 5 == 3, F.to_json(F.struct("event_type")).substr(15, 100)).otherwise("null")
     return table(spark, sf_dir, "events").select("event_id", text.json_kind(F.regexp_replace(j, r"\}$", "")).alias("kind"))
