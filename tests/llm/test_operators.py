@@ -166,7 +166,7 @@ def test_labels_of_held_out_rows_are_not_learnt_from(spark):
 
 @pytest.mark.parametrize("name, label, cut, recall, precision", [("op3_quality", "quality", 0.5, 0.97, 0.97), ("op7_toxicity", "toxic", 0.7, 0.75, 0.93)])
 def test_classifiers_on_held_out_rows(spark, name, label, cut, recall, precision):
-    """Whole tables of 10 000 documents. op7: 8 in 100 of its toxic texts there have lost the words that made them so."""
+    """Whole tables of 10 000 documents."""
     sf = "/root/testdata/sf0.1"
     got = queries.queries()[name](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
