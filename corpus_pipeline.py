@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, that with the least id (null only where all are), of each component of documents linked by Jaccard similarity."""
     prepared(spark)
     name = free_name("row_number", docs.columns)
-    rows = jaccard_join.numbered(spread(docs), name)  # written, so that a number means the same row in all that follows
+    rows = jaccard_join.numbered(spread(docs), name)  # a number means the same row in all that follows
     joined = jaccard_join.join(rows, row_col=name)
     kept = joined.groupBy("component_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
     gone = materialize(joined.join(kept, "row", "left_anti").select(F.col("row").alias(name)), "dropped")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_BLANK, U64, gram_hashes, mix, words_of
-from .common import bounded, discard, give_back, held_for, map_steps, materialize
+from .common import bounded, discard, free_name, give_back, held_for, map_steps, materialize
 
 #: Words of a shingle; similarity asked for, as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -38,6 +38,8 @@ BINS, CHUNK_TOKENS, BUCKET_BYTES = 8, 1 << 18, 16 << 20
 TAKEN_APART = 32
 #: Queries that one task asks against a chunk; with more of them its members go to several tasks.
 QUERIES = 8192
+#: Files of a table up to which its rows are numbered by file and place: their paths go to the driver and to all executors.
+FILES = 1 << 16
 _NONE = np.zeros(0, U64)
 
 
@@ -472,9 +474,36 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
-    """docs with a number for each row, written: read again, a row has the same number whatever executors there are."""
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "join-rows")
+def placed(docs: DataFrame, name: str) -> DataFrame | None:
+    """docs with the number of each row: rows of the files before its own, by path, and its place there. None if docs is no plain table of Parquet files."""
+    kind = lambda x: x.getClass().getSimpleName()
+    plan = docs._jdf.queryExecution().analyzed()
+    # Above joins, unions and the like a place may stand for several rows.
+    if kind(plan) != "LogicalRelation" or kind(plan.relation()) != "HadoopFsRelation" or kind(plan.relation().fileFormat()) != "ParquetFileFormat" or len(docs._jdf.inputFiles()) > FILES:
+        return None
+    path, at, start = (free_name(x, [*docs.columns, name]) for x in ("file_path", "row_index", "file_start"))
+    meta = docs.metadataColumn("_metadata")
+    d = docs.withColumns({path: meta["file_path"], at: meta["row_index"]})
+    starts, n = [], 0
+    for f, rows, last in sorted(d.groupBy(path).agg(F.count(F.lit(1)), F.max(at)).collect()):
+        if rows != last + 1:  # a file that is read twice
+            return None
+        starts.append((f, n))
+        n += rows
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, f"{path} string, {start} long"))
+    return d.join(starts, path).withColumn(name, F.col(start) + F.col(at)).drop(path, at, start)
+
+
+def numbered(docs: DataFrame, name: str = "row", columns: list[str] | None = None) -> DataFrame:
+    """docs with a number for each row: read again, a row has the same number whatever executors there are.
+
+    A table read from Parquet files is numbered by their places and not written again; these files have to stay until
+    what follows from the numbers has been read. Any other is written, only columns of it if these are given.
+    """
+    found = placed(docs, name)
+    if found is not None:
+        return found
+    return materialize((docs.select(*columns) if columns else docs).withColumn(name, F.monotonically_increasing_id()), "join-rows")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -487,10 +516,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
     Null and blank texts have empty sets and are linked with nothing. Null ids are passed over for component_id, which
     is null only where all are. Rows repeated under one id are linked by their texts like any others. An empty table
     gives no rows; further columns are not looked at. row is row_col, a distinct number for each row of a table read
-    from files; without it rows are numbered and written first.
+    from files; without it rows are numbered first.
     """
     spark = docs.sparkSession
-    d = docs.select(*([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     used: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -498,8 +526,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
         return used[-1]
 
     if not row_col:
-        d = numbered(d)
-        used.append(d)
+        row_col = free_name("row", docs.columns)
+        docs = numbered(docs, row_col, [id_col, text_col])
+        used += [docs] if "_scratch" in vars(docs) else []
+    d = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     common = spark.sparkContext.broadcast(common_tokens(d))
     sig = materialize(_signatures(d, common), "join-signatures")
     classes = keep(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")), "classes")

@@ -11,6 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from recordloom.llm import bpe, decontamination, jaccard_join, license_scan, quality, queries, secret_scan, sharding, topk_search, toxicity, url_filter
 from recordloom.llm.common import bounded
 
@@ -569,6 +570,40 @@ def test_jaccard_rows_keep_their_numbers(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _components(rows)
 
 
+def test_jaccard_writes_no_table_of_files_again(spark, monkeypatch, tmp_path):
+    """Rows of files are numbered by place: no text is written, neither by the query's operator nor by the pipeline's stage."""
+    rows = _near(random.Random(10)) + ODD[:8]
+    path = f"{tmp_path}/d %41 é"
+    docs(spark, rows).repartition(20).write.parquet(path)
+    written, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: written.append(df.columns) or write(df, name))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        table = spark.read.parquet(path)
+        got = jaccard_join.join(table).collect()
+        kept = corpus_pipeline.near_duplicates(spark, table, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _components(rows)
+    assert sorted(r.row for r in got) == list(range(len(rows)))
+    assert len(kept) == len({r.component_row for r in got}) and {tuple(r) for r in kept} <= set(rows)
+    assert written and not any("text" in c for c in written)
+
+
+def test_rows_are_numbered_by_place_only_where_places_are_distinct(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(i, f"t{i}", 1, 2) for i in range(50)], "doc_id long, text string, file_path int, _metadata int").repartition(3).write.parquet(path)
+    table = spark.read.parquet(path)
+    for frame in (table, spark.read.parquet(path, path), table.unionAll(table), table.crossJoin(spark.range(2)), table.where("doc_id > 9"), table.limit(0)):
+        rows = jaccard_join.numbered(frame, "row_index")
+        assert rows.columns == [*frame.columns, "row_index"]
+        assert rows.count() == rows.select("row_index").distinct().count() == frame.count()
+        assert (jaccard_join.placed(frame, "row_index") is None) == (frame is not table)
+
+
 def test_jaccard_at_the_border_and_empty(spark):
     a = [f"w{i}" for i in range(13)]  # 9 shingles; one word more is 10, of which 9 are shared
     rows = [(3, " ".join(a)), (2, " ".join([*a, "x"])), (1, " ".join([*a, "x", "y", "z"])), (9, "A b"), (8, "a  B"), (7, "")]
